@@ -99,8 +99,7 @@ def highest_number(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 def with_new_keys(new: DataFrame, existing: DataFrame, key: str, prefix: str, order: Sequence[Column]) -> DataFrame:
     """Give the new rows keys that follow the greatest existing one."""
+    highest = highest_number(existing, key, prefix).first()["highest"]
     numbered = with_position(new, order, name="_n")
-    # `highest` is an aggregate without grouping: exactly one row.
-    joined = numbered.join(highest_number(existing, key, prefix), how="cross")
-    keyed = joined.withColumn(key, key_text(prefix, F.col("highest") + F.col("_n")))
+    keyed = numbered.withColumn(key, key_text(prefix, F.col("_n") + F.lit(highest)))
     return keyed.select(key, *[c for c in new.columns if c != key])
