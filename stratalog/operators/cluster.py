@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.functions.numbers import cluster_radius, planar_distance
+from stratalog.functions.numbers import cluster_radius
 from stratalog.session import durable
 
 # A little less than 1/sqrt(2), so that a cell's diagonal is shorter than the radius.
@@ -32,66 +32,87 @@ def _cell(c: Column, radius: float) -> Column:
     return F.floor(c / F.lit(radius * _CELL_PER_RADIUS)).cast("bigint")
 
 
-def _reach(df: DataFrame, hot: DataFrame | None, own_cell: bool) -> DataFrame:
-    """Copies of the rows for every cell within the radius (and every salt of a hot cell)."""
-    steps = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-2, 3) for y in range(-2, 3)
-             if own_cell or (x, y) != (0, 0)]
-    spread = df.withColumn("_step", F.explode(F.array(*steps))).select(
-        *[F.col(c).alias(f"to_{c}") for c in ("ord", "lat", "lon")],
-        (F.col("cx") + F.col("_step.x")).alias("cx"),
-        (F.col("cy") + F.col("_step.y")).alias("cy"),
-    )
-    if hot is None:
-        return spread.withColumn("salt", F.lit(0))
-    salted = spread.join(hot, ["cx", "cy"], "left")
-    return salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+# Copies of a row for every cell within the radius; in a hot cell, one for each of its pieces.
+_REACH = """
+    select ord, lat, lon, x, y, 0 as salt
+    from {rows} lateral view explode(sequence(cx - 2, cx + 2)) as x lateral view explode(sequence(cy - 2, cy + 2)) as y
+"""
+_REACH_SALTED = """
+    select ord, lat, lon, x, y, salt
+    from (select w.*, coalesce(h.salts, 1) as pieces
+          from ({reach}) w left join {hot} h on h.cx = w.x and h.cy = w.y)
+    lateral view explode(sequence(0, pieces - 1)) as salt
+"""
+_NEAR = """
+    p.cx = r.x and p.cy = r.y and p.salt = r.salt
+    and sqrt((r.lat - p.lat) * (r.lat - p.lat) + (r.lon - p.lon) * (r.lon - p.lon)) <= {radius}
+"""
+
 
+def _reach(rows: str, salted: bool) -> str:
+    reach = _REACH.replace("{rows}", rows)
+    return _REACH_SALTED.replace("{reach}", reach.replace("0 as salt", "0 as whole")) if salted else reach
 
-def _near(radius: float) -> Column:
-    return planar_distance(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")) <= radius
 
+def _round_query(salted: bool) -> str:
+    """One round: new founders, and the points no new founder covers.
 
-def _matched(points: DataFrame, reach: DataFrame, condition: Column, how: str) -> DataFrame:
-    p, r = points.alias("p"), reach.alias("r")
-    on = (F.col("p.cx") == F.col("r.cx")) & (F.col("p.cy") == F.col("r.cy")) & (F.col("p.salt") == F.col("r.salt"))
-    return p.join(r, on & condition, how)
+    A cell's earliest undecided point becomes a founder unless an earlier undecided
+    point of a neighbouring cell lies within the radius.
+    """
+    return f"""
+    with candidate as (
+        select first.ord, first.lat, first.lon, cx, cy
+        from (select cx, cy, min(struct(ord, lat, lon)) as first from {{undecided}} group by cx, cy)
+    ),
+    blocked as (
+        select distinct r.ord
+        from {{undecided}} p join ({_reach("candidate", salted)}) r on {_NEAR} and p.ord < r.ord
+    ),
+    chosen as (select c.* from candidate c left anti join blocked b on c.ord = b.ord)
+    select ord, lat, lon, cx, cy, 0 as salt, true as founder from chosen
+    union all
+    select ord, lat, lon, cx, cy, salt, false as founder
+    from {{undecided}} p left anti join ({_reach("chosen", salted)}) r on {_NEAR}
+    """
 
 
 def _sites(points: DataFrame, order: str, radius: float) -> tuple[DataFrame, DataFrame | None]:
     """Distinct coordinates with first order, size, cell and salt; and the hot cells, if any."""
     sites = points.groupBy("lat", "lon").agg(F.min(order).alias("ord"), F.count(F.lit(1)).alias("n"))
     sites = durable(sites.select("ord", "lat", "lon", "n", _cell(F.col("lat"), radius).alias("cx"),
-                                 _cell(F.col("lon"), radius).alias("cy")))
+                                 _cell(F.col("lon"), radius).alias("cy"), F.lit(0).alias("salt")))
     crowded = sites.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > _ROWS_PER_SALT)
     hot = durable(crowded.select("cx", "cy", F.ceil(F.col("m") / _ROWS_PER_SALT).cast("int").alias("salts")))
     if hot.isEmpty():
-        return sites.withColumn("salt", F.lit(0)), None
+        return sites, None
     salt = F.pmod(F.xxhash64("ord"), F.coalesce("salts", F.lit(1))).cast("int")
     return durable(sites.join(hot, ["cx", "cy"], "left").withColumn("salt", salt).drop("salts")), hot
 
 
 def _founders(sites: DataFrame, hot: DataFrame | None, radius: float) -> DataFrame:
-    found = []
-    undecided = sites
+    spark = sites.sparkSession
+    tables = {} if hot is None else {"hot": hot}
+    found, undecided = [], sites
     while True:
-        first = F.min(F.struct("ord", "lat", "lon")).alias("f")
-        candidates = undecided.groupBy("cx", "cy").agg(first).select("f.*", "cx", "cy")
-        earlier = _near(radius) & (F.col("p.ord") < F.col("r.to_ord"))
-        blocked = _matched(undecided, _reach(candidates, hot, own_cell=False), earlier, "inner")
-        blocked = blocked.select(F.col("to_ord").alias("ord")).distinct()
-        founders = durable(candidates.join(blocked, "ord", "left_anti"))
-        found.append(founders)
-        undecided = durable(_matched(undecided, _reach(founders, hot, own_cell=True), _near(radius), "left_anti"))
+        step = durable(spark.sql(_round_query(hot is not None), undecided=undecided, radius=radius, **tables))
+        found.append(step.filter("founder"))
+        undecided = step.filter("not founder")
         if undecided.isEmpty():
             return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def assigned_sites(points: DataFrame, radius: float, order: str = "ord") -> DataFrame:
-    """(lat, lon, ord, n, founder) per distinct coordinate."""
+    """(lat, lon, ord, n, founder) per distinct coordinate: the earliest founder within the radius."""
     sites, hot = _sites(points, order, radius)
-    reach = _reach(_founders(sites, hot, radius), hot, own_cell=True)
-    near = _matched(sites, reach, _near(radius), "inner")
-    return near.groupBy("p.lat", "p.lon", "p.ord", "p.n").agg(F.min("to_ord").alias("founder"))
+    founders = _founders(sites, hot, radius)
+    query = f"""
+    select p.lat, p.lon, p.ord, p.n, min(r.ord) as founder
+    from {{sites}} p join ({_reach("{founders}", hot is not None)}) r on {_NEAR}
+    group by p.lat, p.lon, p.ord, p.n
+    """
+    tables = {} if hot is None else {"hot": hot}
+    return points.sparkSession.sql(query, sites=sites, founders=founders, radius=radius, **tables)
 
 
 def cluster_members(points: DataFrame, radius: float, order: str = "ord") -> DataFrame:

@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The blanks of the pattern: all Unicode white space, and the separators U+001C to U+001F.
-_BLANK = r"\s\x1c-\x1f\x85\xa0  -     　"
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters and digits, with the four other letters that match one of them without case.
-_ALNUM = "A-Za-z0-9ſKİı"
+_ALNUM = "A-Za-z0-9\u017f\u212a\u0130\u0131"
 _TOKEN = f"([{_ALNUM}]+|[^{_BLANK}\\-{_ALNUM}])[{_BLANK}\\-]*"
 
 
 def _key(c: Column) -> Column:
-    """Case-free key text; upper before lower also joins letters with several lower forms."""
-    return F.lower(F.upper(F.translate(c, "İ", "I")))
+    """Case-free key text: long s, Kelvin sign and the two Turkish i as s, k and i."""
+    return F.lower(F.upper(F.translate(c, "\u017f\u212a\u0130\u0131", "skii")))
 
 
 def name_patterns(names: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _spans(text: Column, longest: int) -> Column:
     tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), _key)
     pieces = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     both = F.struct(tokens.alias("t"), pieces.alias("p"))
-    ends_alnum, starts_alnum = f"[{_ALNUM}]$", f"^[{_ALNUM}]"
+    ends_alnum, starts_alnum = f"[{_ALNUM}]\\z", f"^[{_ALNUM}]"
 
     def of(pair: Column) -> Column:
         t, p = pair["t"], pair["p"]
@@ -57,10 +57,10 @@ def _spans(text: Column, longest: int) -> Column:
                 body = F.array_join(F.slice(p, i, k), "")
                 before, after = F.try_element_at(p, i - 1), F.try_element_at(p, i + k)
                 joined_left = (i > 1) & F.coalesce(before.rlike(ends_alnum), F.lit(False))
-                joined_right = ~body.rlike(f"[{_BLANK}\\-]$") & F.coalesce(after.rlike(starts_alnum), F.lit(False))
+                joined_right = ~body.rlike(f"[{_BLANK}\\-]\\z") & F.coalesce(after.rlike(starts_alnum), F.lit(False))
                 return F.struct(
                     F.array_join(F.slice(t, i, k), "").alias("key"),
-                    F.regexp_replace(body, f"[{_BLANK}\\-]+$", "").alias("body"),
+                    F.regexp_replace(body, f"[{_BLANK}\\-]+\\z", "").alias("body"),
                     i.alias("at"), k.alias("k"), (~joined_left & ~joined_right).alias("clean"),
                 )
             return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), span)
@@ -92,7 +92,7 @@ def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: st
         return spans.join(patterns.select("key", "name"), "key").groupBy(doc, "name").agg(
             F.count(F.lit(1)).alias("mentions"))
     spans = docs.select(doc, F.inline(_spans(F.col(text), longest))).filter("clean")
-    hits = spans.join(patterns, "key").filter(F.col("k") <= F.col("tokens")).filter(F.col("body").rlike(F.col("pattern")))
+    hits = spans.join(patterns, "key").filter(F.col("k") <= F.col("tokens")).filter(F.rlike("body", "pattern"))
     placed = F.struct("at", "k")
     found = hits.groupBy(doc, "name").agg(
         F.count(F.lit(1)).alias("n"),
