@@ -110,10 +110,12 @@ def apply_filters(
     filters: Sequence[Filter] = (),
     search: str = "",
     literal_mineral: bool = False,
-    bloc: Sequence[str] | None = None,
+    bloc: DataFrame | Sequence[str] | None = None,
 ) -> DataFrame:
     """Entities that pass the search and every filter.
 
+    ``bloc`` names the members of the country bloc: a list, or a table (country_code).
+
     ``literal_mineral`` keeps a known quirk: a mineral filter that names only
     minerals, or only groups, then excludes nothing.
     """
@@ -123,7 +125,12 @@ def apply_filters(
         out = out.filter(search_predicate(search))
     members = bloc_values() if bloc is None else bloc
     for f in active:
-        predicate = column_predicate(f, members)
+        if f.property == "country" and BLOC in f.values and isinstance(members, DataFrame):
+            flagged = members.select("country_code").distinct().withColumn("_member", F.lit(True))
+            out = out.join(flagged, "country_code", "left").filter(
+                F.col("_member") | F.col("country_code").isin(list(f.values))).select(*catalog.simulants.columns)
+            continue
+        predicate = column_predicate(f, () if isinstance(members, DataFrame) else members)
         if predicate is not None:
             out = out.filter(predicate)
     for f in active:
