@@ -54,8 +54,7 @@ def filter_availability(t: StandIns) -> DataFrame:
 
 
 @query("""select simulant_id, name from simulants where simulant_id in (
-        select simulant_id from compositions where component_name in ('NATION_2', 'NATION_3') and value_pct > 5)
-    """.replace("value_pct > 5", "value_pct > 0") + """
+        select simulant_id from compositions where component_name in ('NATION_2', 'NATION_3') and value_pct > 0)
     or simulant_id in (select simulant_id from mineral_groups where group_name = 'ASIA' and value_pct > 0)""")
 def filter_mineral(t: StandIns) -> DataFrame:
     return _filtered(t, Filter("mineral", ("NATION_2", "NATION_3", "group:ASIA")))
@@ -125,7 +124,9 @@ _TABLE_SQL = """
 
 @query(f"""with rows_ as ({_TABLE_SQL})
     select *, row_number() over (order by year desc nulls last, length(simulant_id), simulant_id) as position from rows_
-    where country in ({_EUROPE}) and year >= 1985 and contains(lower(name), 'r')
+    where country in ({_EUROPE}) and year >= 1985 and (contains(lower(name), '-1')
+        or contains(lower(country_code), '-1') or contains(lower(coalesce(type, '')), '-1')
+        or contains(lower(coalesce(institution, '')), '-1'))
       and simulant_id in (select simulant_id from chemical_compositions where component_name = 'RF' and value_wt_pct > 0)""")
 def filtered_catalogue(t: StandIns) -> DataFrame:
     """Flagship: filters of every kind, data flags, first citation, and the sort."""
@@ -133,7 +134,7 @@ def filtered_catalogue(t: StandIns) -> DataFrame:
     chosen = filters.apply_filters(
         catalog,
         [Filter("country", ("EU",)), Filter("year", ("1985", "")), Filter("chemical", ("RF",)), Filter("type", ())],
-        search="r",
+        search="-1",
         bloc=_bloc(t),
     )
     rows = detail.catalogue_table(catalog, chosen)

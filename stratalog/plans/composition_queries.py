@@ -228,22 +228,18 @@ def citation_rollup(t: StandIns) -> DataFrame:
     return sinks.citation_rollup(t["references"], per_part=3)
 
 
-def _headers(names, label: str, first: str) -> str:
+def _headers(names: tuple[str, ...], label: str) -> str:
     return ",\n".join(
         f"min(value) filter (where component_name = '{n}') as \"{label.format(n)}\"" for n in names)
 
 
-def _blanked(columns) -> str:
-    return ", ".join(f'case when part = 0 then {e} end as "{label}"' for e, label in columns)
-
-
 _BASE = [("s.name", "Name"), ("s.type", "Type"), ("s.country_code", "Country"), ("s.institution", "Institution"),
          ("s.availability", "Availability"), ("s.release_date", "Release Date"), ("s.tons_produced_mt", "Tons Produced (MT)"),
          ("s.specific_gravity", "Specific Gravity"), ("s.notes", "Notes"), ("s.lunar_sample_reference", "Lunar Sample Reference")]
 
 
-@query(f"""with mineral as (select simulant_id, {_headers(_NATIONS, "Mineral: {} (%)", "")} from ({_FIRST_MINERAL}) group by 1),
-    oxide as (select simulant_id, {_headers(_OXIDES, "Chemical: {} (wt%)", "")} from ({_FIRST_CHEM}) group by 1),
+@query(f"""with mineral as (select simulant_id, {_headers(_NATIONS, "Mineral: {} (%)")} from ({_FIRST_MINERAL}) group by 1),
+    oxide as (select simulant_id, {_headers(_OXIDES, "Chemical: {} (wt%)")} from ({_FIRST_CHEM}) group by 1),
     cited as ({_ROLLUP.format(size=4)}),
     joined as (
         select s.simulant_id as "Simulant ID", coalesce(c.part, 0) as part,
@@ -290,8 +286,8 @@ _GREEDY = """with recursive placed as (select *, row_number() over (order by ord
     walk(i, founders) as (
         select cast(0 as bigint), cast([] as struct(ord bigint, lat double, lon double)[])
         union all
-        select p.i, case when len(list_filter(w.founders, f ->
-                sqrt((f.lat - p.lat) * (f.lat - p.lat) + (f.lon - p.lon) * (f.lon - p.lon)) <= {radius})) = 0
+        select p.i, case when len([f for f in w.founders
+                if sqrt((f.lat - p.lat) * (f.lat - p.lat) + (f.lon - p.lon) * (f.lon - p.lon)) <= {radius}]) = 0
             then list_append(w.founders, {{'ord': p.ord, 'lat': p.lat, 'lon': p.lon}}) else w.founders end
         from walk w join placed p on p.i = w.i + 1),
     founder as (select unnest(founders, recursive := true) from (select founders from walk order by i desc limit 1)),
