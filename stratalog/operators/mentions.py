@@ -14,65 +14,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.session import spread
+
 # The blanks of the pattern: all Unicode white space, and the separators U+001C to U+001F.
 _BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Letters and digits, with the four other letters that match one of them without case.
-_ALNUM = "A-Za-z0-9\u017f\u212a\u0130\u0131"
-_TOKEN = f"([{_ALNUM}]+|[^{_BLANK}\\-{_ALNUM}])[{_BLANK}\\-]*"
+# Characters that match another one regardless of case without sharing its lower case.
+_FOLD = ("\u017f\u212a\u0130\u0131\u00b5\u03c2\u03d0\u03f5\u03d1\u03f0\u03d6\u03f1\u03d5\u1e9b",
+         "skii\u03bc\u03c3\u03b2\u03b5\u03b8\u03ba\u03c0\u03c1\u03c6\u1e61")
+# A token of case-free text, with the blanks and hyphens behind it.
+_TOKEN = f"([a-z0-9]+|[^{_BLANK}\\-a-z0-9])[{_BLANK}\\-]*"
 
 
-def _key(c: Column) -> Column:
-    """Case-free key text: long s, Kelvin sign and the two Turkish i as s, k and i."""
-    return F.lower(F.upper(F.translate(c, "\u017f\u212a\u0130\u0131", "skii")))
+def _folded(c: Column) -> Column:
+    """Case-free text of the same length."""
+    return F.lower(F.translate(c, *_FOLD))
 
 
 def name_patterns(names: DataFrame) -> DataFrame:
     """(name, key, pattern, tokens) per distinct name that holds any token."""
     distinct = names.select("name").filter("name is not null").distinct()
-    escaped = F.regexp_replace("name", r"([!-,./:-@\[-`{-~ ])", r"\\$1")
+    escaped = F.regexp_replace(_folded(F.col("name")), r"([!-,./:-@\[-`{-~ ])", r"\\$1")
     flexible = F.regexp_replace(escaped, "-", "[" + _BLANK.replace("\\", "\\\\") + "\\\\-]?")
-    tokens = F.regexp_extract_all("name", F.lit(_TOKEN), F.lit(1))
+    tokens = F.regexp_extract_all(_folded(F.col("name")), F.lit(_TOKEN), F.lit(1))
     rows = distinct.select(
         "name",
-        F.array_join(F.transform(tokens, _key), "").alias("key"),
+        F.array_join(tokens, "").alias("key"),
         F.concat(F.lit("(?iu)^(?:"), flexible, F.lit(")\\z")).alias("pattern"),
         F.size(tokens).alias("tokens"),
     )
     return rows.filter("tokens > 0")
 
 
-def _spans(text: Column, longest: int) -> Column:
-    """Every run of 1…longest tokens: key, text, first token, length, and clean ends."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), _key)
-    pieces = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    both = F.struct(tokens.alias("t"), pieces.alias("p"))
-    ends_alnum, starts_alnum = f"[{_ALNUM}]\\z", f"^[{_ALNUM}]"
-
-    def of(pair: Column) -> Column:
-        t, p = pair["t"], pair["p"]
-        n = F.size(t)
-
-        def spans_at(i: Column) -> Column:
-            def span(k: Column) -> Column:
-                body = F.array_join(F.slice(p, i, k), "")
-                before, after = F.try_element_at(p, i - 1), F.try_element_at(p, i + k)
-                joined_left = (i > 1) & F.coalesce(before.rlike(ends_alnum), F.lit(False))
-                joined_right = ~body.rlike(f"[{_BLANK}\\-]\\z") & F.coalesce(after.rlike(starts_alnum), F.lit(False))
-                return F.struct(
-                    F.array_join(F.slice(t, i, k), "").alias("key"),
-                    F.regexp_replace(body, f"[{_BLANK}\\-]+\\z", "").alias("body"),
-                    i.alias("at"), k.alias("k"), (~joined_left & ~joined_right).alias("clean"),
-                )
-            return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), span)
+def _joined(left: Column, right: Column, skip: int) -> Column:
+    """Element i of ``left`` followed by element i + skip of ``right``; shorter by ``skip``."""
+    n = F.greatest(F.size(right) - skip, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(skip + 1), n), lambda a, b: F.concat(a, b))
 
-        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), spans_at)))
 
-    return F.element_at(F.transform(F.array(both), of), 1)
+def _spans(docs: DataFrame, doc: str, text: str, longest: int) -> DataFrame:
+    """(doc, at, k, key, body, before, after): every run of 1…longest tokens of every text.
 
-
-def _single_tokens(text: Column) -> Column:
-    """The same for names of one token: the key says all, but for clean ends of other characters."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"[{_ALNUM}]+"), F.lit(0)), lambda t: F.struct(_key(t).alias("key")))
+    The arrays of longer runs grow from those of shorter ones by gluing on the next
+    token, so a text costs its length times ``longest``.
+    """
+    low = _folded(F.col(text))
+    cut = docs.select(
+        doc,
+        F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(1)).alias("_t"),
+        F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0)).alias("_p"),
+    )
+    keys, bodies = ["_t"], ["_p"]
+    for k in range(2, longest + 1):
+        cut = cut.withColumns({
+            f"_t{k}": _joined(F.col(keys[-1]), F.col("_t"), k - 1),
+            f"_p{k}": _joined(F.col(bodies[-1]), F.col("_p"), k - 1),
+        })
+        keys.append(f"_t{k}")
+        bodies.append(f"_p{k}")
+    before = F.concat(F.array(F.lit("")), F.col("_p"))
+
+    def run(k: int) -> Column:
+        after = F.slice(F.col("_p"), F.lit(k + 1), F.greatest(F.size("_p") - k, F.lit(0)))
+        zipped = F.arrays_zip(
+            F.col(keys[k - 1]).alias("key"), F.col(bodies[k - 1]).alias("body"),
+            F.slice(before, F.lit(1), F.size(keys[k - 1])).alias("before"), after.alias("after"))
+        return F.transform(zipped, lambda z, i: F.struct(
+            i.alias("at"), F.lit(k).alias("k"), z["key"].alias("key"), z["body"].alias("body"),
+            z["before"].alias("before"), z["after"].alias("after")))
+
+    return cut.select(doc, F.inline(F.concat(*[run(k) for k in range(1, longest + 1)])))
+
+
+def _whole(body: Column, before: Column, after: Column) -> Column:
+    """Whether a span neither begins nor ends inside a run of letters and digits."""
+    open_left = F.coalesce(before.rlike(r"[a-z0-9]\z"), F.lit(False))
+    closed = body.rlike(f"[{_BLANK}\\-]\\z")
+    return ~open_left & (closed | ~F.coalesce(after.rlike("^[a-z0-9]"), F.lit(False)))
 
 
 def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -87,12 +104,16 @@ def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: st
     longest, plain = patterns.agg(
         F.coalesce(F.max("tokens"), F.lit(1)), F.coalesce(F.min(F.col("name").rlike("^[A-Za-z0-9]+$")), F.lit(True))
     ).first()
+    rows = spread(docs.select(doc, text))
     if plain:
-        spans = docs.select(doc, F.inline(_single_tokens(F.col(text))))
+        # Names of one run of letters and digits: the key says all.
+        words = F.regexp_extract_all(_folded(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+        spans = rows.select(doc, F.explode(words).alias("key"))
         return spans.join(patterns.select("key", "name"), "key").groupBy(doc, "name").agg(
             F.count(F.lit(1)).alias("mentions"))
-    spans = docs.select(doc, F.inline(_spans(F.col(text), longest))).filter("clean")
-    hits = spans.join(patterns, "key").filter(F.col("k") <= F.col("tokens")).filter(F.rlike("body", "pattern"))
+    hits = _spans(rows, doc, text, longest).join(patterns, "key").filter(F.col("k") <= F.col("tokens"))
+    hits = hits.filter(_whole(F.col("body"), F.col("before"), F.col("after"))).filter(
+        F.rlike(F.regexp_replace("body", f"[{_BLANK}\\-]+\\z", ""), "pattern"))
     placed = F.struct("at", "k")
     found = hits.groupBy(doc, "name").agg(
         F.count(F.lit(1)).alias("n"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.functions.citations import file_title
+from stratalog.session import spread
 
 MIN_TEXT = 100
 
@@ -55,7 +56,7 @@ def html_to_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
             out[text] = [visible_text(h) for h in batch[html]]
             yield out
 
-    return pages.mapInPandas(convert, schema)
+    return spread(pages).mapInPandas(convert, schema)
 
 
 def corpus_texts(pages: DataFrame, html: str = "html") -> DataFrame:
