@@ -26,8 +26,8 @@ _TOKEN = f"([a-z0-9]+|[^{_BLANK}\\-a-z0-9])[{_BLANK}\\-]*"
 
 
 def _folded(c: Column) -> Column:
-    """Case-free text of the same length."""
-    return F.lower(F.translate(c, *_FOLD))
+    """Case-free text of the same length. Lower case comes before the folding: it has a final sigma."""
+    return F.translate(F.lower(F.translate(c, "\u0130", "I")), *_FOLD)
 
 
 def name_patterns(names: DataFrame) -> DataFrame:

@@ -80,17 +80,15 @@ def normalised_components(df: DataFrame, value: str) -> DataFrame:
 
 def country_codes(spark: SparkSession, path: str) -> DataFrame:
     """ISO-3 codes of a GeoJSON country file; '-99' and '' are null."""
-    properties = "struct<ISO_A3: string, iso_a3: string, NAME: string>"
-    schema = f"type string, features array<struct<properties: {properties}>>"
-    reader = spark.read.schema(schema).option("caseSensitive", True)
-    feature = reader.json(path, multiLine=True).select(F.explode("features.properties").alias("p"))
-    return feature.select(country_code(F.col("p")).alias("country_code"), F.col("p.NAME").alias("name"))
+    # A map keeps keys apart that differ only by case.
+    schema = "features array<struct<properties: map<string, string>>>"
+    feature = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features.properties").alias("p"))
+    return feature.select(country_code(F.col("p")).alias("country_code"), F.col("p").getItem("NAME").alias("name"))
 
 
 def country_code(properties: F.Column) -> F.Column:
-    upper = F.nullif(properties.getField("ISO_A3"), F.lit(""))
-    lower = F.nullif(properties.getField("iso_a3"), F.lit(""))
-    return F.nullif(F.coalesce(upper, lower), F.lit("-99"))
+    codes = [F.nullif(properties.getItem(k), F.lit("")) for k in ("ISO_A3", "iso_a3")]
+    return F.nullif(F.coalesce(*codes), F.lit("-99"))
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -64,10 +64,15 @@ def corpus_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     return html_to_text(pages, html).filter(F.length("text") >= MIN_TEXT)
 
 
+def _file_name() -> F.Column:
+    """Name of the file a row was read from; Spark gives it percent-encoded, '+' left as it is."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file")
+
+
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, html) of every HTML file in a folder, one row per file."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.html")
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("html"))
+    rows = raw.select(_file_name(), F.col("value").alias("html"))
     return rows.filter(~F.col("file").contains("Zone.Identifier"))
 
 
@@ -75,13 +80,13 @@ def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, title) of the sidecar JSON files; files that do not parse are left out."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
     valid = raw.filter(F.try_parse_json("value").isNotNull())
-    return valid.select(F.col("_metadata.file_name").alias("file"), F.get_json_object("value", "$.title").alias("title"))
+    return valid.select(_file_name(), F.get_json_object("value", "$.title").alias("title"))
 
 
 def file_names(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Names of the files in a folder, without reading them."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return listed.select(F.col("_metadata.file_name").alias("file"))
+    return listed.select(_file_name())
 
 
 def with_titles(docs: DataFrame, metadata: DataFrame) -> DataFrame:
