@@ -64,29 +64,25 @@ def family_shares(rows: DataFrame, families: Mapping[str, Sequence[str]] | None
     return sums.select("simulant_id", F.inline(pairs))
 
 
-def _side_by_side(
-    pairs: DataFrame, keys: Sequence[str], left: tuple[DataFrame, str, str], right: tuple[DataFrame, str, str]
-) -> DataFrame:
-    """Match components of two sides per pair: one aggregation instead of a full outer join.
+def _side_by_side(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(…keys, component_name, value_1, value_2) of rows (…keys, component_name, side, value).
 
-    Each side is (components, its id column, the pair column that refers to it).
+    One aggregation with map-side combine takes the place of a full outer join.
     """
-    tagged = []
-    for (rows, id_column, pair_column), (a, b) in ((left, (1, 0)), (right, (0, 1))):
-        side = rows.select(F.col(id_column).alias("_id"), "component_name", F.col("value").alias("_v"))
-        matched = pairs.join(side, F.col(pair_column) == F.col("_id")).select(
-            *keys, "component_name",
-            (F.col("_v") if a else F.lit(None).cast("double")).alias("value_1"),
-            (F.col("_v") if b else F.lit(None).cast("double")).alias("value_2"),
-        )
-        tagged.append(matched)
-    both = tagged[0].unionByName(tagged[1]).groupBy(*keys, "component_name").agg(
-        F.coalesce(F.max("value_1"), F.lit(0.0)).alias("value_1"),
-        F.coalesce(F.max("value_2"), F.lit(0.0)).alias("value_2"),
-    )
+    def of(side: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col("value"))), F.lit(0.0)).alias(f"value_{side}")
+
+    both = matched.groupBy(*keys, "component_name").agg(of(1), of(2))
     return both.filter((F.col("value_1") > 0) | (F.col("value_2") > 0))
 
 
+def _pair_sides(components: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The components of both entities of every pair, by a single join."""
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"id_{n}").alias("simulant_id")) for n in (1, 2)])
+    rows = components.select("simulant_id", "component_name", "value")
+    return pairs.select("pair_id", F.inline(sides)).join(rows, "simulant_id")
+
+
 def comparison_order(keys: Sequence[str] = ("pair_id",)) -> list[Column]:
     """Larger components first inside each pair."""
     return [*[F.col(k) for k in keys], F.desc(F.col("value_1") + F.col("value_2")), F.col("component_name")]
@@ -98,7 +94,7 @@ def compare_pairs(components: DataFrame, pairs: DataFrame, exclude_sum: bool = T
     ``components`` holds one row per entity and component (see `first_components`).
     """
     rows = components.filter("component_name <> 'sum'") if exclude_sum else components
-    both = _side_by_side(pairs, ["pair_id"], (rows, "simulant_id", "id_1"), (rows, "simulant_id", "id_2"))
+    both = _side_by_side(_pair_sides(rows, pairs), ["pair_id"])
     delta = F.col("value_1") - F.col("value_2")
     return both.select(
         "*",
@@ -121,10 +117,11 @@ def compare_to_profiles(
         alias = F.coalesce(*[F.when(F.col("component_name") == a, F.lit(b)) for a, b in aliases.items()],
                            F.col("component_name"))
         rows = rows.withColumn("component_name", alias)
-    keyed = pairs.select(F.col("simulant_id"), F.col("sample_id"))
-    both = _side_by_side(
-        keyed, ["simulant_id", "sample_id"], (rows, "simulant_id", "simulant_id"), (profiles, "sample_id", "sample_id")
-    )
+    columns = ["simulant_id", "sample_id", "component_name", "value"]
+    keyed = pairs.select("simulant_id", "sample_id")
+    own = keyed.join(rows, "simulant_id").select(*columns, F.lit(1).alias("side"))
+    reference = keyed.join(profiles, "sample_id").select(*columns, F.lit(2).alias("side"))
+    both = _side_by_side(own.unionByName(reference), ["simulant_id", "sample_id"])
     delta = F.when((F.col("value_1") > 0) & (F.col("value_2") > 0), F.col("value_1") - F.col("value_2"))
     return both.select("*", delta.alias("delta"), F.abs(delta).alias("abs_delta"))
 
@@ -140,8 +137,7 @@ def compared_properties(entities: DataFrame) -> DataFrame:
 
 def compare_physical(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Two entities property by property; properties positive on neither side are left out."""
-    rows = compared_properties(entities)
-    return _side_by_side(pairs, ["pair_id"], (rows, "simulant_id", "id_1"), (rows, "simulant_id", "id_2"))
+    return _side_by_side(_pair_sides(compared_properties(entities), pairs), ["pair_id"])
 
 
 def totals_above(components: DataFrame, value: str, limit: float = 100.0, tolerance: float = 1e-6) -> DataFrame:

@@ -11,6 +11,8 @@ spans whose full key equals a name's are tested with the pattern.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,12 +205,10 @@ def uncovered_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def corpus_totals(mentions: DataFrame, docs: DataFrame, entities: DataFrame, doc: str = "doc") -> DataFrame:
     """One row: documents, documents with a mention, entities, entities covered."""
-    with_mention = mentions.agg(F.count_distinct(doc).alias("documents_with_mention"))
-    covered = entities.join(mentions.select("name").distinct(), "name", "left_semi").agg(F.count(F.lit(1)).alias("entities_covered"))
-    one = docs.agg(F.count(F.lit(1)).alias("documents"))
-    total = entities.agg(F.count(F.lit(1)).alias("entities"))
-    rows = [df.select(F.lit(1).alias("_one"), "*") for df in (one, with_mention, total, covered)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.join(r, "_one")
-    return out.drop("_one").withColumn("entities_uncovered", F.col("entities") - F.col("entities_covered"))
+    covered = entities.join(mentions.select("name").distinct(), "name", "left_semi")
+    counted = {"documents": docs, "documents_with_mention": mentions.select(doc).distinct(), "entities": entities,
+               "entities_covered": covered}
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("measure"), "n") for m, df in counted.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    out = rows.agg(*[F.max(F.when(F.col("measure") == m, F.col("n"))).alias(m) for m in counted])
+    return out.withColumn("entities_uncovered", F.col("entities") - F.col("entities_covered"))

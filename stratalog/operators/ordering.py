@@ -33,23 +33,37 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def _range_parts(df: DataFrame, within: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows split by range of (within, order), with their part number.
+    """Rows split by range of (within, order) and sorted, with `_part` and `_at` (from 0 in the part).
 
-    The part numbers rise with the order. They are only good together with the rows
-    they were computed for, so the lineage is cut here.
+    The numbers rise with the order. They are only good together with the rows they
+    were computed for, so the lineage is cut here.
     """
-    split = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in within], *order)
-    return durable(split.withColumn("_part", F.spark_partition_id()))
+    keys = [*[F.col(c).asc_nulls_first() for c in within], *order]
+    sorted_parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The id is the partition number above 33 bits that count the rows of the partition.
+    kept = durable(sorted_parts.withColumn("_id", F.monotonically_increasing_id()))
+    return kept.withColumns({
+        "_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)),
+    }).drop("_id")
 
 
-def _join_parts(parts: DataFrame, summary: DataFrame, within: Sequence[str]) -> DataFrame:
+def _join_carried(parts: DataFrame, carried: DataFrame, within: Sequence[str], name: str) -> DataFrame:
+    """Add what a group brings along from earlier parts.
+
+    Of all groups in a part only its first can have begun in an earlier part, so
+    ``carried`` has at most one row per part: a proven bound for the broadcast.
+    """
     keys = [*within, "_part"]
-    renamed = summary.select([F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in summary.columns])
-    on = None
+    small = carried.select(*[F.col(c).alias(f"_s_{c}") for c in keys], name)
+    on = F.lit(True)
     for c in keys:
-        same = parts[c].eqNullSafe(renamed[f"_s_{c}"])
-        on = same if on is None else on & same
-    return parts.join(renamed, on, "left").drop(*[f"_s_{c}" for c in keys])
+        on = on & parts[c].eqNullSafe(small[f"_s_{c}"])
+    return parts.join(F.broadcast(small), on, "left").drop(*[f"_s_{c}" for c in keys])
+
+
+def _before(within: Sequence[str]) -> Window:
+    """The earlier parts of a group. It runs over one row per group and part."""
+    return Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_position(
@@ -58,18 +72,18 @@ def with_position(
     """Number rows 1, 2, … by ``order`` inside each ``within`` group, or over all rows.
 
     ``order`` must be total (end it with a unique column). No task holds more than
-    one range part, however large the group is.
+    one range part, however large the group is; over all rows there is no shuffle but
+    the one that splits them.
     """
     parts = _range_parts(df, within, order)
     counts = parts.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per group and part: never more rows per group than there are parts.
-    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*within, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*within, "_part").orderBy(*order)
-    numbered = _join_parts(parts, offsets, within).withColumn(
-        name, (F.row_number().over(inside) + F.col("_offset")).cast("bigint")
-    )
-    return numbered.drop("_part", "_offset")
+    offsets = counts.select(*within, "_part", F.sum("_n").over(_before(within)).alias("_offset")).filter("_offset > 0")
+    row = F.col("_at") + 1
+    if within:
+        row = F.row_number().over(Window.partitionBy(*within, "_part").orderBy("_at"))
+    numbered = _join_carried(parts.withColumn("_row", row), offsets, within, "_offset")
+    position = (F.col("_row") + F.coalesce("_offset", F.lit(0))).cast("bigint")
+    return numbered.withColumn(name, position).drop("_part", "_at", "_row", "_offset")
 
 
 def forward_filled(
@@ -77,18 +91,15 @@ def forward_filled(
 ) -> DataFrame:
     """Carry the last non-null ``value`` forward by ``order`` inside each group."""
     parts = _range_parts(df, within, order)
-    inside = Window.partitionBy(*within, "_part").orderBy(*order)
-    placed = parts.withColumn("_at", F.row_number().over(inside))
-    lasts = placed.groupBy(*within, "_part").agg(
+    lasts = parts.groupBy(*within, "_part").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last")
     )
-    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*within, "_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = _join_parts(parts, carried, within).withColumn(
-        name or value, F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col("_carry"))
-    )
-    return filled.drop("_part", "_carry")
+    carry = F.last("_last", ignorenulls=True).over(_before(within))
+    carried = lasts.select(*within, "_part", carry.alias("_carry")).filter("_carry is not null")
+    upto = Window.partitionBy(*within, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = parts.withColumn("_own", F.last(value, ignorenulls=True).over(upto))
+    filled = _join_carried(own, carried, within, "_carry").withColumn(name or value, F.coalesce("_own", "_carry"))
+    return filled.drop("_part", "_at", "_own", "_carry")
 
 
 def highest_number(df: DataFrame, key: str, prefix: str) -> DataFrame:
