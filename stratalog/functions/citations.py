@@ -70,6 +70,11 @@ def title_search_link(text: Column) -> Column:
     return scholar_link(F.concat(F.lit('"'), likely_title(text), F.lit('"')))
 
 
+def entity_search_link(name: Column) -> Column:
+    """Search for works that cite an entity by name."""
+    return scholar_link(F.concat(name, F.lit(" lunar regolith simulant")))
+
+
 def file_title(name: Column) -> Column:
     """File name without '.pdf.html', '.html' and '.pdf', each taken off once in that order."""
     out = name

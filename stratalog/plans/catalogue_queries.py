@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.functions import labels, numbers
+from stratalog.functions import citations, labels, numbers
 from stratalog.operators import detail, facets, filters
 from stratalog.operators.filters import Filter
 from stratalog.operators.ordering import with_position
@@ -279,7 +279,8 @@ def entity_cards(t: StandIns) -> DataFrame:
 @query(f"""select simulant_id, {_URL.format(c="institution")} as institution_url, country_code as country,
         {_MISSION.format(c="lunar_sample_reference")} as mission, {_BADGE} as badge,
         '"' || replace(notes, '"', '""') || '"' as notes_cell,
-        regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g') || '_2024-05-06.csv' as file_name
+        regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g') || '_2024-05-06.csv' as file_name,
+        'https://scholar.google.com/scholar?q=' || url_encode(name || ' lunar regolith simulant') as search_link
     from simulants""")
 def entity_labels(t: StandIns) -> DataFrame:
     return t["simulants"].select(
@@ -290,6 +291,7 @@ def entity_labels(t: StandIns) -> DataFrame:
         labels.availability_badge(F.col("availability")).alias("badge"),
         labels.csv_cell(F.col("notes")).alias("notes_cell"),
         labels.export_file_name(F.col("name"), F.lit("2024-05-06").cast("date")).alias("file_name"),
+        citations.entity_search_link(F.col("name")).alias("search_link"),
     )
 
 

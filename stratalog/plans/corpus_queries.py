@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import citations
 from stratalog.operators import backfill, mentions
+from stratalog.plans import jobs
 from stratalog.plans.registry import query
 from stratalog.plans.standins import StandIns
 from stratalog.sources import corpus as corpora
@@ -205,3 +206,11 @@ def new_citations(t: StandIns) -> DataFrame:
 def coverage_change(t: StandIns) -> DataFrame:
     before = t["word_references"]
     return backfill.coverage_change(t["word_names"], before, before.unionByName(_new(t)))
+
+
+@query(f"""with {_NEW}, after_ as (select simulant_id from word_references union all select simulant_id from fresh)
+    select simulant_id, count(*) as n from after_ group by simulant_id""")
+def backfilled_references(t: StandIns) -> DataFrame:
+    """The whole index job, seen through the citation table it returns."""
+    done = jobs.index_sources(t["corpus"], t["word_names"], t["word_references"], t["curated"])
+    return done.references.groupBy("simulant_id").agg(F.count(F.lit(1)).alias("n"))

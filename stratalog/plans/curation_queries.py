@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalog import fixed
 from stratalog.functions.labels import key_order
 from stratalog.operators import linkage, merge, ordering, quality
+from stratalog.plans import jobs
 from stratalog.plans.registry import query
 from stratalog.plans.standins import StandIns
 from stratalog.sources import sinks
@@ -244,14 +245,18 @@ _CLAIM = """usable as (select name, min(ord) as ord from sheet where {usable} gr
     cell as (select c.simulant_id, s.{column} as raw from claim c join sheet s on s.ord = c.ord)"""
 
 
-@query(f"""with {_LINKS}, {_CLAIM.format(usable="mineral_composition_raw like '{%'", existing="compositions", column="mineral_composition_raw")},
+_NEW_MINERALS = f"""{_CLAIM.format(usable="mineral_composition_raw like '{%'", existing="compositions", column="mineral_composition_raw")},
     fixed_ as (select simulant_id, case when json_valid(raw) then raw else rtrim(raw, ',') || '}}}}' end as raw from cell),
     grp as (select simulant_id, unnest(json_keys(raw)) as grp, raw from fixed_),
     inner_ as (select simulant_id, grp, json_extract(raw, '$.' || grp) as cell from grp),
-    item as (select simulant_id, grp, unnest(json_keys(cell)) as component_name, cell from inner_ where json_type(cell) = 'OBJECT')
-    select simulant_id, 'mineral' as component_type, component_name,
-           cast(json_extract_string(cell, '$.' || component_name) as double) as value_pct, grp as "group"
-    from item where cast(json_extract_string(cell, '$.' || component_name) as double) > 0""")
+    item as (select simulant_id, grp, unnest(json_keys(cell)) as component_name, cell from inner_ where json_type(cell) = 'OBJECT'),
+    new_mineral as (
+        select simulant_id, 'mineral' as component_type, component_name,
+               cast(json_extract_string(cell, '$.' || component_name) as double) as value_pct, grp as "group"
+        from item where cast(json_extract_string(cell, '$.' || component_name) as double) > 0)"""
+
+
+@query(f"with {_LINKS}, {_NEW_MINERALS} select * from new_mineral")
 def merged_minerals(t: StandIns) -> DataFrame:
     return merge.merge_minerals(t["sheet"], _links(t), t["compositions"])
 
@@ -298,3 +303,17 @@ def merge_row_statistics(t: StandIns) -> DataFrame:
     chemistry = merge.merge_chemistry(t["sheet"], links, t["chemical_compositions"])
     report = merge.merge_statistics(t["sheet"], links, entities, extras, minerals, chemistry)
     return report.filter(F.col("measure").startswith("rows_"))
+
+
+@query(f"""with {_LINKS}, {_NEW_MINERALS},
+    after_ as (select simulant_id from compositions union all select simulant_id from new_mineral)
+    select 'rows' as measure, count(*) as n from after_ union all select 'entities', count(distinct simulant_id) from after_
+    union all select 'missing', count(*) from simulants where simulant_id not in (select simulant_id from after_)""")
+def curated_mineralogy(t: StandIns) -> DataFrame:
+    """The whole merge job, seen through the mineral table it returns."""
+    done = jobs.curate(t.catalog(), t["sheet"], t["aliases"], fuzzy=False).catalog
+    rows = done.compositions.select(F.lit("rows").alias("measure"))
+    entities = done.compositions.select("simulant_id").distinct().select(F.lit("entities").alias("measure"))
+    missing = quality.without_children(done.simulants, done.compositions, "simulant_id", "simulant_id")
+    tagged = rows.unionByName(entities).unionByName(missing.select(F.lit("missing").alias("measure")))
+    return tagged.groupBy("measure").agg(F.count(F.lit(1)).alias("n"))

@@ -257,6 +257,8 @@ class StandIns(Mapping[str, DataFrame]):
             text = _fill(STANDINS[name], SPARK_WORDS)
             needed = {t for t in BASE_TABLES if re.search(r"\{%s\}" % t, text)}
             return self.spark.sql(text, **{t: self[t] for t in needed})
+        if name not in BASE_TABLES:
+            raise KeyError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __iter__(self) -> Iterator[str]:

@@ -204,3 +204,30 @@ def test_reports(spark):
     sources = {r["simulant_id"]: (r["source_count"], r["top_source"]) for r in mentions.entity_sources(hits, entities).collect()}
     assert sources["S1"] == (2, "x") and sources["S0"] == (1, "x")
     assert [r["simulant_id"] for r in mentions.uncovered_entities(hits, entities).collect()] == ["S9"]
+
+
+def test_merge_job(spark, catalog):
+    from stratalog.plans import jobs
+
+    rows = sheet(spark, [dict(name="Zeta", type="Mare", mineral_composition_raw='{"F": {"A": 5, "B": 2.5}}'),
+                         dict(name="Zeta", chemical_composition_raw="SiO2;40")])
+    done = jobs.curate(catalog, rows)
+    added = {(r["composition_id"], r["component_name"], r["value_pct"]) for r in done.catalog.compositions.filter("simulant_id = 'S003'").collect()}
+    assert added == {("C004", "A", 5.0), ("C005", "B", 2.5)}
+    assert {r["composition_id"] for r in done.catalog.chemical_compositions.filter("simulant_id = 'S003'").collect()} == {"CH1001"}
+    assert done.catalog.simulants.filter("simulant_id = 'S003'").first()["type"] == "Mare"
+    assert done.issues.filter("severity = 'error'").count() > 0
+
+
+def test_index_job(spark, table):
+    from stratalog.plans import jobs
+
+    entities = spark.createDataFrame([("S1", "JSC-1"), ("S2", "LHS")], "simulant_id string, name string")
+    docs = spark.createDataFrame([("a.html", "JSC 1 and JSC-1 in one long line", "A"), ("b.html", "JSC1", "B")],
+                                 "file string, text string, title string")
+    curated = spark.createDataFrame([], "file string, title string, authors string, year int, doi string, url string, reference_type string")
+    done = jobs.index_sources(docs, entities, table("references", []), curated)
+    assert [(r["reference_id"], r["simulant_id"], r["title"]) for r in done.references.collect()] == [
+        ("R001", "S1", "JSC 1 and JSC-1 in one long line")]
+    assert {r["child"]: r["missing"] for r in done.change.collect()} == {"before": 2, "after": 1}
+    assert [r["simulant_id"] for r in done.reports["uncovered"].collect()] == ["S2"]

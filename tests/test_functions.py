@@ -85,3 +85,8 @@ def test_chemical_cells(spark):
     got = values(spark, texts, cells.chemical_pairs(X))
     assert [[tuple(p) for p in g] if g is not None else None for g in got] == [
         [("SiO2", 45.5), ("Al2O3", 12.3)], [("SiO2", 45.5)], [], [("A", 1.0), ("B", 2.0)], None, [("7", 8.0)]]
+
+
+def test_planar_distance(spark):
+    point = [F.lit(float(v)) for v in (0, 179, 3, -177)]
+    assert spark.range(1).select(numbers.planar_distance(*point)).first()[0] == (3 ** 2 + 356 ** 2) ** 0.5
