@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog import fixed
-from stratalog.functions.labels import key_order
 from stratalog.functions.numbers import strict_number
-from stratalog.operators.ordering import first_per_key
 
 
 def first_components(components: DataFrame, value: str, key: str = "composition_id", name: str = "component_name") -> DataFrame:
     """(simulant_id, component_name, value): the first row of each component of an entity."""
-    rows = components.select("simulant_id", F.col(name).alias("component_name"), F.col(value).alias("value"),
-                             F.col(key).alias("_id"))
-    return first_per_key(rows, ["simulant_id", "component_name"], [*key_order(F.col("_id")), F.col("value")]).drop("_id")
+    ranked = F.struct(F.length(key).alias("l"), F.col(key).alias("k"), F.col(value).alias("value"))
+    best = components.groupBy("simulant_id", F.col(name).alias("component_name")).agg(F.min(ranked).alias("_first"))
+    return best.select("simulant_id", "component_name", F.col("_first.value").alias("value"))
 
 
 def profile_components(profiles: DataFrame, column: str) -> DataFrame:

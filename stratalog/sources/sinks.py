@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalog import fixed, schemas
 from stratalog.functions.labels import key_order
 from stratalog.functions.numbers import decimal_text, integer_text, plain_number
+from stratalog.operators.compose import first_components
 from stratalog.operators.detail import citation_section
 from stratalog.operators.facets import bounded_names
 from stratalog.operators.ordering import last_per_key, with_position
@@ -113,9 +114,8 @@ def citation_rollup(references: DataFrame, per_part: int = 1000) -> DataFrame:
 
 def pivoted(components: DataFrame, value: str, names: Sequence[str], label: str) -> DataFrame:
     """One column per component name holding the entity's first value."""
-    first = F.min_by(value, F.struct(*key_order(F.col("composition_id")), value))
-    wide = components.filter(F.col("component_name").isin(list(names))).groupBy("simulant_id").pivot(
-        "component_name", list(names)).agg(first)
+    rows = first_components(components.filter(F.col("component_name").isin(list(names))), value)
+    wide = rows.groupBy("simulant_id").pivot("component_name", list(names)).agg(F.first("value"))
     return wide.select("simulant_id", *[F.col(f"`{n}`").alias(label.format(n)) for n in names])
 
 
