@@ -17,21 +17,14 @@ MIN_TEXT = 100
 
 
 class _VisibleText(HTMLParser):
-    """Gathers text nodes outside script and style."""
+    """Gathers text nodes; the parser itself knows when it is inside script or style."""
 
     def __init__(self) -> None:
         super().__init__()
         self.pieces: list[str] = []
-        self.hidden = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden = self.hidden or tag in ("script", "style")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.hidden = self.hidden and tag not in ("script", "style")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if self.cdata_elem not in ("script", "style"):
             self.pieces.append(data)
 
 

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from stratalog.operators import backfill, cluster, linkage, mentions, merge, ordering
 
 
-def test_positions_and_forward_fill(spark):
+@pytest.fixture(params=["true", "false"])
+def coalescing(spark, request):
+    """Small tables usually end up in one part; without coalescing groups span several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.unset(name)
+
+
+def test_positions_and_forward_fill(spark, coalescing):
     rnd = random.Random(5)
     rows = [(i, rnd.choice("aaab"), rnd.choice([None, None, f"v{i}"])) for i in range(500)]
     count, carried, want = {}, {}, {}
@@ -24,6 +33,8 @@ def test_positions_and_forward_fill(spark):
     placed = ordering.with_position(df, [F.col("i")], ["k"])
     filled = {r["i"]: r["v"] for r in ordering.forward_filled(df, "v", [F.col("i")], ["k"]).collect()}
     assert {r["i"]: (r["position"], filled[r["i"]]) for r in placed.collect()} == want
+    spread_over = ordering._range_parts(df, ["k"], [F.col("i")]).select("_part").distinct().count()
+    assert (spread_over > 1) == (coalescing == "false")
     overall = ordering.with_position(df, [F.desc("i")]).orderBy("position").collect()
     assert [r["i"] for r in overall] == list(range(499, -1, -1))
 
