@@ -1,7 +1,7 @@
 """Whole jobs over a catalogue: spreadsheet merge, and source index with citation backfill.
 
 Inputs are never changed; a job returns new tables with its audit and checks. Tables
-that several steps read are cut with a checkpoint first, so they are computed once.
+that several steps read are written once to the checkpoint folder first.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df``: write it to the shared checkpoint folder and read it back.
 
     Used where a plan is read more than once and recomputing it would be slow, or
-    where it holds partition numbers, which a recomputation may not repeat.
+    where it holds partition numbers, which a recomputation may not repeat. Unlike
+    `checkpoint()` a written table prunes columns and has a measured size, by which Spark
+    chooses its joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stratalog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
