@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SHARDS = 8
+#: Folder of the public tokenizers; `tokenizer_path` names files in it.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    return os.path.join(TOKENIZERS, name)
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +36,22 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(documents(spark, sf_dir))
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.bpe import digests
+
+    return digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.language import fit, fold, predict
+
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = fit(rows.where(~F.col("held_out")), "text", "lang", "doc_id")
+    return predict(rows.drop("lang"), model).drop("text")
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.sharding import assign_shards
@@ -39,3 +62,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
     placed = assign_shards(rows, SHARDS, ["doc_id", "size", "text_crc32", "text_hash"], seed=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.token_counts import count_tokens, read_vocabulary
+
+    return count_tokens(documents(spark, sf_dir), read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
