@@ -36,6 +36,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(documents(spark, sf_dir))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.substring_dedup import dedup_words
+
+    done = dedup_words(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.bpe import digests
@@ -64,6 +72,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.token_counts import count_tokens, read_vocabulary
