@@ -29,8 +29,10 @@ from stratalog.llm.columns import require
 # The pre-tokenizer's pattern, as published with the vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: Pieces that a task remembers; when full, it starts anew. Longer pieces are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+#: Pieces, words and pairs that a task remembers; when full, it starts anew. Longer pieces are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+#: A rank above that of any merge.
+MERGES = 1 << 62
 
 
 @lru_cache(1)
@@ -63,6 +65,8 @@ class Vocabulary:
             self.joined[i, j] = rank
             if k not in self.left:
                 self.rank[k], self.left[k], self.right[k] = rank, i, j
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             raw = as_bytes[token]
@@ -77,38 +81,48 @@ class Vocabulary:
         is undone; a pair that stood side by side must not have a merge that comes before the next change on either side.
         ``below``: test only merges of a lower rank, for the two halves of a token itself.
         """
-        until = float("inf") if below is None else below
-        while True:
-            made = self.joined.get((a, b))
-            if made is not None and made < until:
-                return False
+        joined, rank, left, right = self.joined.get, self.rank, self.left, self.right
+        until = MERGES if below is None else below
+        while joined((a, b), MERGES) >= until:
             # The pair (a, b) has stood side by side since the later of the two was made.
-            if self.rank[a] < 0 and self.rank[b] < 0:
-                return True
-            if self.rank[a] > self.rank[b]:
-                until, a = self.rank[a], self.right[a]
-            else:
+            x, y = rank[a], rank[b]
+            if x > y:
+                until, a = x, right[a]
+            elif y >= 0:
                 # Equal merges happen from left to right: one to the left of the same rank comes first and spoils b.
-                until, b = self.rank[b] + 1, self.left[b]
+                until, b = y + 1, left[b]
+            else:
+                return True
+        return False
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Token ids of one pre-tokenizer piece."""
         n = len(raw)
-        last, at = [-1] * (n + 1), 0
+        last, pairs = [-1] * (n + 1), self.pairs
         for end, (size, token) in self.automaton.iter(raw.decode("latin-1")):  # for each end the longest first
-            end += 1
-            if last[end] < 0:
-                start = end - size
-                if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
-                    last[end] = token
+            if last[end + 1] < 0:
+                start = end + 1 - size
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    fits = pairs.get((before, token))
+                    if fits is None:
+                        if len(pairs) >= REMEMBERED:
+                            pairs.clear()
+                        fits = pairs[before, token] = self.compatible(before, token)
+                    if not fits:
+                        continue
+                last[end + 1] = token
         ids, at = [], n
         while at:
             token = last[at]
             if token < 0:
                 raise ValueError(f"the vocabulary lacks byte {raw[at - 1]}")
             ids.append(token)
-            at -= len(self.bytes_of[token])
-        return ids[::-1]
+            at -= self.size_of[token]
+        ids.reverse()
+        return ids
 
 
 class Codec:
@@ -143,7 +157,7 @@ class Codec:
         """What a space and ``word`` encode to; None if a neighbour could change it, as white space at its ends could."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        found = self._pieces(" " + word)
+        found = self._piece(" " + word) if word.isalpha() else self._pieces(" " + word)
         if len(word) <= LONGEST_REMEMBERED:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
