@@ -51,6 +51,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.lm import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 @query
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.language import fit, fold, predict
@@ -60,6 +67,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows.drop("lang"), model).drop("text")
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.decontaminate import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.sharding import assign_shards
