@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once.
+
+    A plain column that holds an expression may be put back in its place by the optimizer, also inside a lambda, and then runs once
+    per element. A lambda's argument stays a value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -17,17 +17,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.columns import require, words_of
+from stratalog.llm.columns import let, require, words_of
 from stratalog.session import durable
 
 SHINGLE, SIMILAR = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Bits of the bitmap: at least so many per item shingle, within these bounds. A full bitmap filters less but loses nothing.
-BITS_PER_SHINGLE, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 22
+#: Bits of the bitmap: at least so many per item shingle, within these bounds; each hash sets three. A fuller bitmap filters less but loses nothing.
+BITS_PER_SHINGLE, FEWEST_BITS, MOST_BITS, PROBES = 128, 1 << 16, 1 << 21, (0, 21, 42)
 #: Sixteen-bit lanes count how many shingle hashes have a bit.
 LONGEST_ITEM = 65_000
 KEY = ["doc_id", "text_hash"]
@@ -75,17 +76,16 @@ def prepared_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def bitmap(items: DataFrame) -> tuple[Column, int]:
-    """A literal array of 64-bit words with the low bits of the items' hashes set, and its number of bits, a power of two."""
+    """A literal array of 64-bit words with three bits of each of the items' hashes set, and its number of bits, a power of two."""
     hashes = items.select(F.explode("hashes").alias("h"))
     bits = FEWEST_BITS
     count = hashes.count()
     while bits < MOST_BITS and bits < BITS_PER_SHINGLE * count:
         bits *= 2
-    low = F.col("h").bitwiseAND(F.lit(bits - 1))
-    ones = hashes.select(F.shiftright(low, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    low = F.explode(F.array(*[F.shiftrightunsigned("h", p).bitwiseAND(F.lit(bits - 1)) for p in PROBES])).alias("low")
+    ones = hashes.select(low).select(F.shiftright("low", 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("low").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = dict(ones.groupBy("at").agg(F.bit_or("bit")).collect())
-    text = ",".join(str(found.get(i, 0)) for i in range(bits // 64))
-    return F.split(F.lit(text), ",").cast("array<bigint>"), bits
+    return F.lit(np.array([found.get(i, 0) for i in range(bits // 64)], np.int64)), bits
 
 
 def suspects(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
@@ -93,13 +93,21 @@ def suspects(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     literal, bits = bitmap(items)
 
     def may_be(h: Column) -> Column:
-        low = h.bitwiseAND(F.lit(bits - 1))
-        word = F.get(literal, F.shiftright(low, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        def one(p: int) -> Column:
+            low = F.shiftrightunsigned(h, p).bitwiseAND(F.lit(bits - 1))
+            word = F.get(literal, F.shiftright(low, 6).cast("int"))
+            return F.call_function("shiftrightunsigned", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    hashed = docs.withColumn("hashes", shingles(F.col("words"), size)).select(*KEY, F.size("words").alias("n"), "hashes")
-    places = F.filter(F.transform("hashes", lambda h, i: F.when(may_be(h), i)), lambda i: i.isNotNull())
-    return hashed.withColumn("places", places).where(F.size("places") > 0).dropDuplicates(KEY)
+        return one(PROBES[0]) & one(PROBES[1]) & one(PROBES[2])
+
+    def found(words: Column) -> Column:
+        return let(shingles(words, size), lambda hashes: F.struct(
+            F.size(words).alias("n"), hashes.alias("hashes"),
+            F.filter(F.transform(hashes, lambda h, i: F.when(may_be(h), i)), lambda i: i.isNotNull()).alias("places")))
+
+    # One generator finds and filters: a filter by itself would be worked out apart from the columns.
+    some = F.filter(F.array(let(F.col("words"), found)), lambda s: F.size(s.places) > 0)
+    return docs.select(*KEY, F.inline(some)).dropDuplicates(KEY)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

@@ -6,6 +6,7 @@ are computed once and become a literal of the plan: a row's range is then a func
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def range_number(value: Column, cuts: list) -> Column:
     """
     if not cuts:
         return F.lit(0)
-    literal, n = F.lit(cuts), len(cuts)
+    literal, n = F.lit(np.array(cuts, np.int64)), len(cuts)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
     return F.aggregate(
         steps,
