@@ -46,7 +46,8 @@ def unsqueeze(raw: bytes) -> Arrays:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
 
 
-def _to_bytes(rows: pa.Table) -> bytes:
+def to_bytes(rows: pa.Table) -> bytes:
+    """A pack's payload."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_table(rows)
@@ -66,7 +67,7 @@ def pack(df: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
         held, size, number = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            payload = _to_bytes(pa.Table.from_batches(held).combine_chunks())
+            payload = to_bytes(pa.Table.from_batches(held).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), pa.array([payload], pa.binary())], ["pack", "payload"])
 
         for batch in batches:

@@ -188,3 +188,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     of_fp = members.join(of_root, "root").select("fp", "linked")
     named = fps.join(of_fp, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without those linked with a smaller doc_id, all columns as they were.
+
+    doc_id must tell rows apart: rows that share one go together if any of them is linked with a smaller one, and rows without
+    a doc_id go together if any of them is linked with a row that has one.
+    """
+    found = near_duplicates(df, doc_id, text)
+    later = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = durable(later.select(F.col("doc_id").alias("_gone_doc_id")).distinct())
+    return df.join(gone, df[doc_id].cast("bigint").eqNullSafe(gone["_gone_doc_id"]), "left_anti")

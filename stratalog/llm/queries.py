@@ -36,6 +36,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(documents(spark, sf_dir))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.substring_dedup import dedup_words
