@@ -30,14 +30,15 @@ def resolved_citations(files: DataFrame, corpus: DataFrame, curated: DataFrame)
     """Citation fields per file: curated record, else what text and file name tell.
 
     ``corpus`` is (file, text), ``curated`` (file, title, authors, year, doi, url,
-    reference_type). A file outside both is cited by its name.
+    reference_type). A file outside both is cited by its name. DOI and title are taken while the corpus is scanned, so
+    only they are joined and shuffled, never the texts.
     """
     known = curated.select("file", F.struct("title", "authors", "year", "doi", "url", "reference_type").alias("c"))
-    text = corpus.select("file", "text", F.lit(True).alias("_read"))
+    text = corpus.select("file", document_doi(F.col("text")).alias("_doi"), document_title(F.col("text")).alias("_title"), F.lit(True).alias("_read"))
     rows = files.select("file").distinct().join(known, "file", "left").join(text, "file", "left")
-    doi = document_doi(F.col("text"))
+    doi = F.col("_doi")
     file = F.col("file")
-    title = F.coalesce(document_title(F.col("text")), file_work_title(file), F.nullif(bare_file_name(file), F.lit("")))
+    title = F.coalesce(F.col("_title"), file_work_title(file), F.nullif(bare_file_name(file), F.lit("")))
     extracted = F.struct(
         title.alias("title"), file_authors(file).alias("authors"), file_year(file).alias("year"), doi.alias("doi"),
         F.concat(F.lit("https://doi.org/"), doi).alias("url"), F.lit("general").alias("reference_type"),

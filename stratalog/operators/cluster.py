@@ -28,6 +28,12 @@ _CELL_PER_RADIUS = 0.7071
 _ROWS_PER_SALT = 250_000
 
 
+def placeable(lat: str = "lat", lon: str = "lon") -> Column:
+    """Whether a point has finite coordinates. One without is near nothing, not even itself: it stays single."""
+    finite = [F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(F.col(c).cast("double")) for c in (lat, lon)]
+    return finite[0] & finite[1]
+
+
 def _cell(c: Column, radius: float) -> Column:
     return F.floor(c / F.lit(radius * _CELL_PER_RADIUS)).cast("bigint")
 
@@ -78,8 +84,8 @@ def _round_query(salted: bool) -> str:
 
 
 def _sites(points: DataFrame, order: str, radius: float) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct coordinates with first order, size, cell and salt; and the hot cells, if any."""
-    sites = points.groupBy("lat", "lon").agg(F.min(order).alias("ord"), F.count(F.lit(1)).alias("n"))
+    """Distinct finite coordinates with first order, size, cell and salt; and the hot cells, if any."""
+    sites = points.filter(placeable()).groupBy("lat", "lon").agg(F.min(order).alias("ord"), F.count(F.lit(1)).alias("n"))
     sites = durable(sites.select("ord", "lat", "lon", "n", _cell(F.col("lat"), radius).alias("cx"),
                                  _cell(F.col("lon"), radius).alias("cy"), F.lit(0).alias("salt")))
     crowded = sites.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > _ROWS_PER_SALT)
@@ -96,8 +102,11 @@ def _founders(sites: DataFrame, hot: DataFrame | None, radius: float) -> DataFra
     found, undecided = [], sites
     while True:
         step = durable(spark.sql(_round_query(hot is not None), undecided=undecided, radius=radius, **tables))
-        found.append(step.filter("founder"))
+        new = step.filter("founder")
         undecided = step.filter("not founder")
+        if new.isEmpty() and not undecided.isEmpty():
+            raise RuntimeError("a round found no founder")
+        found.append(new)
         if undecided.isEmpty():
             return reduce(lambda a, b: a.unionByName(b), found)
 
@@ -116,24 +125,27 @@ def assigned_sites(points: DataFrame, radius: float, order: str = "ord") -> Data
 
 
 def cluster_members(points: DataFrame, radius: float, order: str = "ord") -> DataFrame:
-    """The points with the order of their cluster's founder (a long member table)."""
+    """The points with the order of their cluster's founder (a long member table). Points without finite coordinates found themselves."""
     if radius <= 0:
         return points.withColumn("founder", F.col(order))
     sites = assigned_sites(points, radius, order).select("lat", "lon", "founder")
-    return points.join(sites, ["lat", "lon"]).select(*points.columns, "founder")
+    # Only finite coordinates are in ``sites``; the others keep their own order.
+    return points.join(sites, ["lat", "lon"], "left").select(*points.columns, F.coalesce("founder", F.col(order)).alias("founder"))
 
 
 def clusters(points: DataFrame, radius: float, order: str = "ord") -> DataFrame:
-    """(founder, lat, lon, count): centroid and size; a count of 1 is a single point."""
+    """(founder, lat, lon, count): centroid and size; a count of 1 is a single point, as is every one without finite coordinates."""
     if radius <= 0:
         return points.select(F.col(order).alias("founder"), "lat", "lon", F.lit(1).cast("bigint").alias("count"))
     n = F.col("n")
     # Coordinates carry their multiplicity, so the members need not be expanded.
-    return assigned_sites(points, radius, order).groupBy("founder").agg(
+    grouped = assigned_sites(points, radius, order).groupBy("founder").agg(
         (F.sum(F.col("lat") * n) / F.sum(n)).alias("lat"),
         (F.sum(F.col("lon") * n) / F.sum(n)).alias("lon"),
         F.sum(n).alias("count"),
     )
+    single = points.filter(~placeable()).select(F.col(order).alias("founder"), "lat", "lon", F.lit(1).cast("bigint").alias("count"))
+    return grouped.unionByName(single)
 
 
 def clusters_by_altitude(points: DataFrame, altitudes: Sequence[float], order: str = "ord") -> DataFrame:

@@ -7,6 +7,7 @@ carry a small per-part summary across the parts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,14 +104,21 @@ def forward_filled(
 
 
 def highest_number(df: DataFrame, key: str, prefix: str) -> DataFrame:
-    """One row with the greatest number among keys of the form prefix + digits, 0 if none."""
-    digits = F.when(F.col(key).rlike(f"^{prefix}[0-9]+$"), F.substring(key, len(prefix) + 1, 18))
-    return df.agg(F.coalesce(F.max(digits.try_cast("bigint")), F.lit(0).cast("bigint")).alias("highest"))
+    """One row with the greatest number (decimal(38,0)) among keys of the form prefix + digits, 0 if none.
+
+    Digits are compared by their number, then as text, so keys of any length count; a greatest one of more than 38 digits is an error.
+    """
+    digits = F.regexp_extract(F.col(key), f"^{re.escape(prefix)}0*([0-9]+)$", 1)
+    top = F.max(F.when(digits != "", F.struct(F.length(digits).alias("n"), digits.alias("digits"))))
+    return df.agg(top.alias("top")).select(
+        F.when(F.col("top.n") > 38, F.raise_error(F.concat(F.lit("a key has more than 38 digits: "), F.col("top.digits"))).cast("decimal(38,0)"))
+        .otherwise(F.coalesce(F.col("top.digits").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))).alias("highest"))
 
 
 def with_new_keys(new: DataFrame, existing: DataFrame, key: str, prefix: str, order: Sequence[Column]) -> DataFrame:
     """Give the new rows keys that follow the greatest existing one."""
     highest = highest_number(existing, key, prefix).first()["highest"]
     numbered = with_position(new, order, name="_n")
-    keyed = numbered.withColumn(key, key_text(prefix, F.col("_n") + F.lit(highest)))
+    number = (F.col("_n").cast("decimal(38,0)") + F.lit(highest).cast("decimal(38,0)")).cast("decimal(38,0)")
+    keyed = numbered.withColumn(key, key_text(prefix, number))
     return keyed.select(key, *[c for c in new.columns if c != key])

@@ -214,18 +214,17 @@ _SECTION = """case when reference_type = 'composition' then 'composition'
 _ROLLUP = f"""
     with placed as (
         select simulant_id, reference_id, {_SECTION} as section, coalesce(reference_text, '') as text from "references"),
-    numbered as (select *, (row_number() over (partition by simulant_id, section
-                     order by length(reference_id), reference_id) - 1) // {{size}} as part from placed)
-    select simulant_id, cast(part as int) as part,
+    numbered as (select * from placed)
+    select simulant_id,
         coalesce(string_agg(text, ' | ' order by length(reference_id), reference_id) filter (where section = 'composition'), '') as composition_sources,
         coalesce(string_agg(text, ' | ' order by length(reference_id), reference_id) filter (where section = 'usage'), '') as usage_studies,
         coalesce(string_agg(text, ' | ' order by length(reference_id), reference_id) filter (where section = 'other'), '') as other_sources
-    from numbered group by 1, 2"""
+    from numbered group by 1"""
 
 
-@query(_ROLLUP.format(size=3))
+@query(_ROLLUP)
 def citation_rollup(t: StandIns) -> DataFrame:
-    return sinks.citation_rollup(t["references"], per_part=3)
+    return sinks.citation_rollup(t["references"])
 
 
 def _headers(names: tuple[str, ...], label: str) -> str:
@@ -240,18 +239,18 @@ _BASE = [("s.name", "Name"), ("s.type", "Type"), ("s.country_code", "Country"),
 
 @query(f"""with mineral as (select simulant_id, {_headers(_NATIONS, "Mineral: {} (%)")} from ({_FIRST_MINERAL}) group by 1),
     oxide as (select simulant_id, {_headers(_OXIDES, "Chemical: {} (wt%)")} from ({_FIRST_CHEM}) group by 1),
-    cited as ({_ROLLUP.format(size=4)}),
+    cited as ({_ROLLUP}),
     joined as (
-        select s.simulant_id as "Simulant ID", coalesce(c.part, 0) as part,
-            {", ".join(f'case when coalesce(c.part, 0) = 0 then {e} end as "{label}"' for e, label in _BASE)},
-            {", ".join(f'case when coalesce(c.part, 0) = 0 then m."Mineral: {n} (%)" end as "Mineral: {n} (%)"' for n in _NATIONS)},
-            {", ".join(f'case when coalesce(c.part, 0) = 0 then o."Chemical: {n} (wt%)" end as "Chemical: {n} (wt%)"' for n in _OXIDES)},
+        select s.simulant_id as "Simulant ID",
+            {", ".join(f'{e} as "{label}"' for e, label in _BASE)},
+            {", ".join(f'm."Mineral: {n} (%)"' for n in _NATIONS)},
+            {", ".join(f'o."Chemical: {n} (wt%)"' for n in _OXIDES)},
             coalesce(c.composition_sources, '') as "Composition Sources", coalesce(c.usage_studies, '') as "Usage Studies"
         from simulants s left join mineral m on m.simulant_id = s.simulant_id
         left join oxide o on o.simulant_id = s.simulant_id left join cited c on c.simulant_id = s.simulant_id)
     select * from joined""")
 def wide_export(t: StandIns) -> DataFrame:
-    return sinks.wide_export(t.catalog(), t["simulants"], _NATIONS, _OXIDES, per_part=4)
+    return sinks.wide_export(t.catalog(), t["simulants"], _NATIONS, _OXIDES)
 
 
 _CITATION = """coalesce(nullif(reference_text, ''), concat_ws(', ', nullif(authors, ''), '(' || year || ')', '"' || title || '"',

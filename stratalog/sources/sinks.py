@@ -89,27 +89,32 @@ def write_bundle(catalog: Catalog, folder: str) -> None:
         df.write.mode("errorifexists").json(f"{folder.rstrip('/')}/{name}")
 
 
-def citation_rollup(references: DataFrame, per_part: int = 1000) -> DataFrame:
-    """(simulant_id, part, composition_sources, usage_studies, other_sources).
+#: Citations that are joined to one text before the texts of an entity are.
+_JOINED_TOGETHER = 1000
 
-    Texts are joined by ' | ' in citation order. An entity with more citations than
-    ``per_part`` gets further parts, so no cell and no task holds an unbounded group
-    and no citation is lost.
+
+def citation_rollup(references: DataFrame) -> DataFrame:
+    """(simulant_id, composition_sources, usage_studies, other_sources): one row per entity.
+
+    Texts are joined by ' | ' in citation order, first in parts and in parallel, then the few texts of an entity's parts. A cell
+    is as long as its citations; beyond it no task holds an entity's citations.
     """
     rows = references.select(
         "simulant_id", "reference_id", citation_section(F.col("reference_type")).alias("section"),
         F.coalesce("reference_text", F.lit("")).alias("text"),
     )
     placed = with_position(rows, key_order(F.col("reference_id")), ["simulant_id", "section"], "number")
-    part = F.floor((F.col("number") - 1) / per_part).cast("int").alias("part")
+    part = F.floor((F.col("number") - 1) / _JOINED_TOGETHER).alias("part")
 
-    def joined(section: str, name: str) -> F.Column:
-        own = F.collect_list(F.when(F.col("section") == section, F.struct("number", "text")))
+    def joined(place: str, section: str, name: str) -> F.Column:
+        own = F.collect_list(F.when(F.col("section") == section, F.struct(place, "text")))
         return F.array_join(F.transform(F.array_sort(own), lambda x: x["text"]), " | ").alias(name)
 
-    return placed.groupBy("simulant_id", part).agg(
-        joined("composition", "composition_sources"), joined("usage", "usage_studies"), joined("other", "other_sources")
-    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), " | ")
+    parts = placed.groupBy("simulant_id", "section", part).agg(whole.alias("text"))
+    return parts.groupBy("simulant_id").agg(
+        joined("part", "composition", "composition_sources"), joined("part", "usage", "usage_studies"),
+        joined("part", "other", "other_sources"))
 
 
 def pivoted(components: DataFrame, value: str, names: Sequence[str], label: str) -> DataFrame:
@@ -124,13 +129,10 @@ def wide_export(
     entities: DataFrame,
     minerals: Sequence[str] | None = None,
     oxides: Sequence[str] | None = None,
-    per_part: int = 1000,
 ) -> DataFrame:
     """The wide table: base columns, one column per mineral and oxide, citation texts.
 
-    Works over any set of entities: all, filtered, or chosen by id. ``part`` is 0 but
-    for entities with more citations than fit one row; their further rows carry only
-    the id and the remaining citations.
+    Works over any set of entities: all, filtered, or chosen by id. One row per entity.
     """
     chosen = entities.select("simulant_id").distinct()
 
@@ -145,17 +147,15 @@ def wide_export(
     # Values come from all rows of the oxide's name, whatever their type.
     wide = wide.join(pivoted(own(catalog.chemical_compositions), "value_wt_pct", oxides, "Chemical: {} (wt%)"),
                      "simulant_id", "left")
-    wide = wide.join(citation_rollup(own(catalog.references), per_part), "simulant_id", "left")
-    wide = wide.withColumn("part", F.coalesce("part", F.lit(0)))
+    wide = wide.join(citation_rollup(own(catalog.references)), "simulant_id", "left")
     headers = {**fixed.EXPORT_COLUMNS, "composition_sources": "Composition Sources", "usage_studies": "Usage Studies"}
 
     def cell(c: str) -> F.Column:
         if c in ("composition_sources", "usage_studies"):
             return F.coalesce(c, F.lit(""))
-        return F.col(c) if c == "simulant_id" else F.when(F.col("part") == 0, F.col(f"`{c}`"))
+        return F.col(f"`{c}`")
 
-    columns = [c for c in wide.columns if c not in ("part", "other_sources")]
-    return wide.select("part", *[cell(c).alias(headers.get(c, c)) for c in columns])
+    return wide.select(*[cell(c).alias(headers.get(c, c)) for c in wide.columns if c != "other_sources"])
 
 
 def entity_export(catalog: Catalog, simulant_id: str) -> DataFrame:
@@ -175,7 +175,7 @@ def write_csv(wide: DataFrame, path: str) -> None:
         plain = plain_number(column) if types[c] == "double" else column.cast("string")
         return F.trim(F.regexp_replace(F.coalesce(plain, F.lit("")), r"\r?\n", " ")).alias(c)
 
-    rows = wide.select([text(c) for c in wide.columns if c != "part"])
+    rows = wide.select([text(c) for c in wide.columns])
     rows.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', emptyValue="",
                                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 

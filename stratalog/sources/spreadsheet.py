@@ -14,7 +14,8 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> Data
     """The named columns of a CSV, trimmed, blank as null, with the row order in ``ord``.
 
     A quoted cell may hold line breaks, so one file is read by one task; put a large
-    import into many files. ``ord`` rises in file and row order.
+    import into many files. ``ord`` is (file, position in it): Spark packs files into tasks by size, so the
+    position alone would not rise from file to file.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     by_header = {c.strip(): c for c in raw.columns}
@@ -25,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> Data
         text = F.regexp_replace(F.col(f"`{by_header[header]}`"), r"^\s+|\s+$", "")
         return F.nullif(text, F.lit("")).alias(name)
 
-    return raw.select(*[cell(h, n) for h, n in columns.items()], F.monotonically_increasing_id().alias("ord"))
+    return raw.select(*[cell(h, n) for h, n in columns.items()], F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("ord"))
 
 
 def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:

@@ -110,6 +110,28 @@ def test_wide_csv(spark, tmp_path, catalog):
     assert [c for c in own.columns if ":" in c] == ["Mineral: Augite (%)"]
 
 
-def test_citations_go_on_in_further_parts(catalog):
-    parts = {(r["simulant_id"], r["part"]): r["composition_sources"] for r in sinks.citation_rollup(catalog.references, 1).collect()}
-    assert parts[("S001", 0)].startswith("First") and parts[("S001", 1)] == "Tenth"
+def test_one_row_of_citations_per_entity_however_many(catalog, monkeypatch):
+    whole = sorted(map(tuple, sinks.citation_rollup(catalog.references).collect()))
+    monkeypatch.setattr(sinks, "_JOINED_TOGETHER", 1)
+    rows = sorted(map(tuple, sinks.citation_rollup(catalog.references).collect()))
+    assert rows == whole and [r[0] for r in rows] == ["S001", "S002"]
+    assert rows[0][1].startswith("First") and rows[0][1].endswith(" | Tenth")
+
+
+def test_points_without_coordinates_stay_single(spark):
+    from stratalog.operators import cluster
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0.0, 0.0), (2, 0.0, 0.5), (3, None, 1.0), (4, nan, 1.0), (5, 1.0, inf), (6, None, None)]
+    points = spark.createDataFrame(rows, "ord bigint, lat double, lon double")
+    members = {r["ord"]: r["founder"] for r in cluster.cluster_members(points, 1.0).collect()}
+    assert members == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert sorted((r["founder"], r["count"]) for r in cluster.clusters(points, 1.0).collect()) == [(1, 2), (3, 1), (4, 1), (5, 1), (6, 1)]
+
+
+def test_keys_of_any_length(spark):
+    from stratalog.operators.ordering import highest_number
+
+    keys = spark.createDataFrame([("R" + "1" * 19,), ("R" + "9" * 20,), ("R007",), ("X1",), (None,)], "k string")
+    assert int(highest_number(keys, "k", "R").first()["highest"]) == int("9" * 20)
+    assert int(highest_number(keys, "k", "R.").first()["highest"]) == 0
