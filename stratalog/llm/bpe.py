@@ -46,7 +46,8 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """A byte-level BPE vocabulary: tokens as bytes, merge trees, ranks and the automaton."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remember: int = REMEMBERED):
+        self.remember = remember
         read = json.loads(definition)
         model, letters = read["model"], byte_letters()
         if model["type"] != "BPE" or read["pre_tokenizer"]["type"] != "ByteLevel" or read["normalizer"] is not None:
@@ -108,7 +109,7 @@ class Vocabulary:
                         continue
                     fits = pairs.get((before, token))
                     if fits is None:
-                        if len(pairs) >= REMEMBERED:
+                        if len(pairs) >= self.remember:
                             pairs.clear()
                         fits = pairs[before, token] = self.compatible(before, token)
                     if not fits:
@@ -129,7 +130,7 @@ class Codec:
     """Encodes texts to ids as little-endian 32-bit bytes and back, remembering pieces."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.remember = vocabulary, vocabulary.remember
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
 
@@ -144,7 +145,7 @@ class Codec:
             ids = array("I", self.vocabulary.encode_piece(piece.encode()))
             found = ids.tobytes(), self.decode_bytes(ids)
             if len(piece) <= LONGEST_REMEMBERED:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= self.remember:
                     self.known.clear()
                 self.known[piece] = found
         return found
@@ -159,7 +160,7 @@ class Codec:
             return None
         found = self._piece(" " + word) if word.isalpha() else self._pieces(" " + word)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= self.remember:
                 self.words.clear()
             self.words[word] = found
         return found
@@ -214,16 +215,18 @@ class Codec:
 
 
 @lru_cache(2)
-def codec_for(definition: str) -> Codec:
-    return Codec(Vocabulary(definition))
+def codec_for(definition: str, remember: int = REMEMBERED) -> Codec:
+    return Codec(Vocabulary(definition, remember))
 
 
-def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded",
+                     remember: int = REMEMBERED) -> DataFrame:
     """``df`` with the token ids of a text column (array<int>) and the text these ids decode to.
 
     ``tokenizer``: the path of a byte-level BPE definition, read by the driver. Null and empty texts give no ids and an
     empty text. Rows are independent: repeated rows give equal results, an empty table stays empty, other columns stay as
-    they are; ``ids`` and ``decoded`` must not be among them.
+    they are; ``ids`` and ``decoded`` must not be among them. ``remember``: how many pieces, words and pairs a Python worker
+    keeps, some 0.8 kB each; it changes speed and memory only.
     """
     require(df, text)
     clash = [n for n in (ids, decoded) if n.lower() in {c.lower() for c in df.columns}]
@@ -232,7 +235,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", ids: str
     definition = _definition(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(definition)
+        codec = codec_for(definition, remember)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
