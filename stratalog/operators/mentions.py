@@ -4,9 +4,8 @@ A name is found regardless of case, each of its hyphens standing for an optional
 hyphen or blank, and not inside a longer run of ASCII letters and digits.
 
 Texts never meet all names. A text is cut into tokens (runs of letters and digits,
-or single other characters); a mention covers whole tokens. Spans of consecutive
-tokens and names share a key, their characters without blanks and hyphens, and only
-spans whose full key equals a name's are tested with the pattern.
+or single other characters); a mention covers whole tokens. A token meets only the names
+that can begin with it, and only there the pattern is tested.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.session import spread
-
 # The blanks of the pattern: all Unicode white space, and the separators U+001C to U+001F.
 _BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Characters that match another one regardless of case without sharing its lower case.
@@ -25,6 +22,8 @@ _FOLD = ("\u017f\u212a\u0130\u0131\u00b5\u03c2\u03d0\u03f5\u03d1\u03f0\u03d6\u03
          "skii\u03bc\u03c3\u03b2\u03b5\u03b8\u03ba\u03c0\u03c1\u03c6\u1e61")
 # A token of case-free text, with the blanks and hyphens behind it.
 _TOKEN = f"([a-z0-9]+|[^{_BLANK}\\-a-z0-9])[{_BLANK}\\-]*"
+# The same without a group, which is faster on whole texts.
+_PIECE = f"[a-z0-9]++[{_BLANK}\\-]*+|[^{_BLANK}\\-a-z0-9][{_BLANK}\\-]*+"
 
 
 def _folded(c: Column) -> Column:
@@ -32,96 +31,68 @@ def _folded(c: Column) -> Column:
     return F.translate(F.lower(F.translate(c, "\u0130", "I")), *_FOLD)
 
 
+_PLAIN = r"name rlike r'^[A-Za-z0-9]+\z'"
+
+
 def name_patterns(names: DataFrame) -> DataFrame:
-    """(name, key, pattern, tokens) per distinct name that holds any token."""
+    """(name, firsts, pattern, tokens, width) per distinct name that holds any token.
+
+    A hyphen may be missing in the text, so its first token is the name's first or several glued: ``firsts``.
+    """
     distinct = names.select("name").filter("name is not null").distinct()
     escaped = F.regexp_replace(_folded(F.col("name")), r"([!-,./:-@\[-`{-~ ])", r"\\$1")
     flexible = F.regexp_replace(escaped, "-", "[" + _BLANK.replace("\\", "\\\\") + "\\\\-]?")
     tokens = F.regexp_extract_all(_folded(F.col("name")), F.lit(_TOKEN), F.lit(1))
     rows = distinct.select(
         "name",
-        F.array_join(tokens, "").alias("key"),
-        F.concat(F.lit("(?iu)^(?:"), flexible, F.lit(")\\z")).alias("pattern"),
-        F.size(tokens).alias("tokens"),
-    )
-    return rows.filter("tokens > 0")
-
-
-def _joined(left: Column, right: Column, skip: int) -> Column:
-    """Element i of ``left`` followed by element i + skip of ``right``; shorter by ``skip``."""
-    n = F.greatest(F.size(right) - skip, F.lit(0))
-    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(skip + 1), n), lambda a, b: F.concat(a, b))
-
-
-def _spans(docs: DataFrame, doc: str, text: str, longest: int) -> DataFrame:
-    """(doc, at, k, key, body, before, after): every run of 1…longest tokens of every text.
-
-    The arrays of longer runs grow from those of shorter ones by gluing on the next
-    token, so a text costs its length times ``longest``.
-    """
-    low = _folded(F.col(text))
-    cut = docs.select(
-        doc,
-        F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(1)).alias("_t"),
-        F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0)).alias("_p"),
-    )
-    keys, bodies = ["_t"], ["_p"]
-    for k in range(2, longest + 1):
-        cut = cut.withColumns({
-            f"_t{k}": _joined(F.col(keys[-1]), F.col("_t"), k - 1),
-            f"_p{k}": _joined(F.col(bodies[-1]), F.col("_p"), k - 1),
-        })
-        keys.append(f"_t{k}")
-        bodies.append(f"_p{k}")
-    before = F.concat(F.array(F.lit("")), F.col("_p"))
-
-    def run(k: int) -> Column:
-        after = F.slice(F.col("_p"), F.lit(k + 1), F.greatest(F.size("_p") - k, F.lit(0)))
-        zipped = F.arrays_zip(
-            F.col(keys[k - 1]).alias("key"), F.col(bodies[k - 1]).alias("body"),
-            F.slice(before, F.lit(1), F.size(keys[k - 1])).alias("before"), after.alias("after"))
-        return F.transform(zipped, lambda z, i: F.struct(
-            i.alias("at"), F.lit(k).alias("k"), z["key"].alias("key"), z["body"].alias("body"),
-            z["before"].alias("before"), z["after"].alias("after")))
-
-    return cut.select(doc, F.inline(F.concat(*[run(k) for k in range(1, longest + 1)])))
-
-
-def _whole(body: Column, before: Column, after: Column) -> Column:
-    """Whether a span neither begins nor ends inside a run of letters and digits."""
-    open_left = F.coalesce(before.rlike(r"[a-z0-9]\z"), F.lit(False))
-    closed = body.rlike(f"[{_BLANK}\\-]\\z")
-    return ~open_left & (closed | ~F.coalesce(after.rlike("^[a-z0-9]"), F.lit(False)))
+        F.concat(F.lit("(?iu)^(?:"), flexible, F.lit(")(?![a-z0-9])")).alias("pattern"),
+        tokens.alias("_t"),
+        F.length("name").alias("width"),
+    ).filter(F.size("_t") > 0)
+    glued = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda k: F.array_join(F.slice(F.col("_t"), F.lit(1), k), ""))
+    return rows.select("name", "pattern", F.size("_t").alias("tokens"), "width", F.array_distinct(glued).alias("firsts"))
 
 
-def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, name, mentions) for every document and distinct name with a mention.
+def _spots(docs: DataFrame, doc: str, text: str, tokens: int, width: int) -> DataFrame:
+    """(doc, at, first, ahead, inside): one row per token of every text.
 
-    Mentions of one name do not overlap; names are counted independently of each other.
-    The sides are joined on the full key: Spark broadcasts the names while their
-    measured size allows and shuffles both sides beyond that. All rows of a document
-    stem from one input row, so counts are complete map-side.
+    ``ahead`` is the text from the token on, as far as the longest name can reach and one character more;
+    ``inside`` tells that the token follows a letter or digit.
     """
-    patterns = name_patterns(names)
-    longest, plain = patterns.agg(
-        F.coalesce(F.max("tokens"), F.lit(1)), F.coalesce(F.min(F.col("name").rlike("^[A-Za-z0-9]+$")), F.lit(True))
-    ).first()
-    rows = spread(docs.select(doc, text))
-    if plain:
-        # Names of one run of letters and digits: the key says all.
-        words = F.regexp_extract_all(_folded(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-        spans = rows.select(doc, F.explode(words).alias("key"))
-        return spans.join(patterns.select("key", "name"), "key").groupBy(doc, "name").agg(
-            F.count(F.lit(1)).alias("mentions"))
-    hits = _spans(rows, doc, text, longest).join(patterns, "key").filter(F.col("k") <= F.col("tokens"))
-    hits = hits.filter(_whole(F.col("body"), F.col("before"), F.col("after"))).filter(
-        F.rlike(F.regexp_replace("body", f"[{_BLANK}\\-]+\\z", ""), "pattern"))
-    placed = F.struct("at", "k")
-    found = hits.groupBy(doc, "name").agg(
-        F.count(F.lit(1)).alias("n"),
-        # Only names of several tokens can overlap themselves. The list is one document's.
-        F.collect_list(F.when(F.col("tokens") > 1, placed)).alias("places"),
-    )
+    pieces = F.regexp_extract_all(_folded(F.col(text)), F.lit(_PIECE), F.lit(0))
+
+    def spots(p: Column) -> Column:
+        return F.transform(p, lambda piece, i: F.struct(
+            i.alias("at"),
+            F.regexp_extract(piece, "(?s)^(?:[a-z0-9]+|.)", 0).alias("first"),
+            # Single elements: a slice would copy the whole array for every token.
+            F.substr(F.concat(*[F.coalesce(F.get(p, i + k), F.lit("")) for k in range(tokens + 1)]),
+                     F.lit(1), F.lit(width + 1)).alias("ahead"),
+            F.coalesce(F.get(p, i - 1).rlike(r"[a-z0-9]\z"), F.lit(False)).alias("inside")))
+
+    # The array is wrapped so that the pieces are cut once per text, not once per token.
+    return docs.select(doc, F.inline(F.element_at(F.transform(F.array(pieces), spots), 1)))
+
+
+def _word_counts(docs: DataFrame, names: DataFrame, doc: str, text: str) -> DataFrame:
+    """Mentions of names that are one run of ASCII letters and digits: the word says all, and words are counted first."""
+    words = F.regexp_extract_all(_folded(F.col(text)), F.lit("[a-z0-9]++"), F.lit(0))
+    wanted = names.filter(_PLAIN).select("name", F.lower("name").alias("_word")).distinct()
+    met = docs.select(doc, F.explode(words).alias("_word")).join(wanted, "_word")
+    return met.groupBy(doc, "name").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def _pattern_counts(docs: DataFrame, names: DataFrame, doc: str, text: str) -> DataFrame:
+    """Mentions of all other names: their pattern is tested where a token can begin them."""
+    patterns = name_patterns(names.filter(f"not ({_PLAIN})"))
+    tokens, width = patterns.agg(F.coalesce(F.max("tokens"), F.lit(1)), F.coalesce(F.max("width"), F.lit(1))).first()
+    starts = patterns.select("name", "pattern", F.explode("firsts").alias("first"))
+    near = _spots(docs, doc, text, tokens, width).filter(~F.col("inside")).join(starts, "first")
+    matched = near.withColumn("_m", F.call_function("regexp_extract", F.col("ahead"), F.col("pattern"), F.lit(0))).filter(
+        F.col("_m") != "")
+    reach = F.size(F.regexp_extract_all("_m", F.lit(_PIECE), F.lit(0)))
+    # The list is one document's.
+    found = matched.groupBy(doc, "name").agg(F.collect_list(F.struct("at", reach.alias("k"))).alias("places"))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("stop"))
 
     def step(acc: Column, place: Column) -> Column:
@@ -132,7 +103,19 @@ def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: st
         )
 
     apart = F.aggregate(F.array_sort("places"), start, step, lambda acc: acc["n"])
-    return found.select(doc, "name", F.when(F.size("places") > 0, apart).otherwise(F.col("n")).alias("mentions"))
+    return found.select(doc, "name", apart.alias("mentions"))
+
+
+def count_mentions(docs: DataFrame, names: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, name, mentions) for every document and distinct name with a mention.
+
+    Mentions of one name do not overlap; names are counted independently of each other. How a name is counted depends
+    on that name alone: one of a single run of letters and digits as a word, any other by its pattern. Either way a text
+    gives one row per token, whatever the names are. Rows meet the names that can begin with their token: Spark
+    broadcasts the names while their measured size allows and shuffles both sides beyond that. All rows of a document
+    stem from one input row, so counts are complete map-side.
+    """
+    return _word_counts(docs, names, doc, text).unionByName(_pattern_counts(docs, names, doc, text))
 
 
 def names_with_entities(entities: DataFrame) -> DataFrame:

@@ -163,11 +163,19 @@ def merge_statistics(
     return out
 
 
+def clashing_owners(existing: DataFrame, new: DataFrame, owner: str = "simulant_id") -> DataFrame:
+    """All owners of new rows that already have rows."""
+    return new.select(owner).distinct().join(existing.select(owner).distinct(), owner, "left_semi")
+
+
 def appended(existing: DataFrame, new: DataFrame, key: str, prefix: str, order: Sequence[Column], owner: str = "simulant_id") -> DataFrame:
-    """Append keyed rows; refuse when an owner already has rows, a value is no number or columns differ."""
-    clash = existing.join(new.select(owner).distinct(), owner, "left_semi").select(owner).distinct().limit(5).collect()
-    if clash:
-        raise ValueError(f"already present: {sorted(r[0] for r in clash)}")
+    """Append keyed rows; refuse when an owner already has rows, a value is no number or columns differ.
+
+    The refusal counts the clashing owners; `clashing_owners` is their table.
+    """
+    clash = clashing_owners(existing, new, owner).agg(F.count(F.lit(1)), F.min(owner), F.max(owner)).first()
+    if clash[0]:
+        raise ValueError(f"already present: {clash[0]} of {owner}, {clash[1]} to {clash[2]}")
     for f in new.schema:
         declared = existing.schema[f.name]
         if declared.dataType != f.dataType:

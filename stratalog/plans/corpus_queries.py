@@ -9,7 +9,7 @@ from stratalog.functions import citations
 from stratalog.operators import backfill, mentions
 from stratalog.plans import jobs
 from stratalog.plans.registry import query
-from stratalog.plans.standins import StandIns
+from stratalog.plans.standins import StandIns, dealt
 from stratalog.sources import corpus as corpora
 
 _ENTITIES = {"&amp;": "&", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": "\xa0"}
@@ -27,7 +27,7 @@ def _visible_sql() -> str:
 @query(f"""with page_text as (select page_id, {_visible_sql()} as text from pages)
     select page_id, length(text) as n_chars, md5(text) as digest from page_text where length(text) >= 100""")
 def page_texts(t: StandIns) -> DataFrame:
-    rows = corpora.corpus_texts(t["pages"].select("page_id", "html"))
+    rows = corpora.corpus_texts(dealt(t["pages"].select("page_id", "html")))
     return rows.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -42,7 +42,7 @@ _HITS = f"""{_WORDS},
 
 
 def _word_hits(t: StandIns) -> DataFrame:
-    return mentions.count_mentions(t["corpus"], t["word_names"], "file")
+    return mentions.count_mentions(dealt(t["corpus"]), t["word_names"], "file")
 
 
 @query(f"with {_HITS} select * from hit")
@@ -60,7 +60,7 @@ _MARK = r"regexp_replace({c}, '([A-Za-z0-9]+)', chr(1) || '\1' || chr(2), 'g')"
     counted as (select file, name, len(regexp_extract_all(text, p)) as mentions from marked, pattern)
     select * from counted where mentions > 0""")
 def hyphenated_mentions(t: StandIns) -> DataFrame:
-    return mentions.count_mentions(t["corpus"], t["pair_names"], "file")
+    return mentions.count_mentions(dealt(t["corpus"]), t["pair_names"], "file")
 
 
 @query(f"with {_HITS} select h.file, w.simulant_id, h.name, h.mentions from hit h join word_names w on w.name = h.name")
@@ -212,5 +212,5 @@ def coverage_change(t: StandIns) -> DataFrame:
     select simulant_id, count(*) as n from after_ group by simulant_id""")
 def backfilled_references(t: StandIns) -> DataFrame:
     """The whole index job, seen through the citation table it returns."""
-    done = jobs.index_sources(t["corpus"], t["word_names"], t["word_references"], t["curated"])
+    done = jobs.index_sources(dealt(t["corpus"]), t["word_names"], t["word_references"], t["curated"])
     return done.references.groupBy("simulant_id").agg(F.count(F.lit(1)).alias("n"))

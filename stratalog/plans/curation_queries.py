@@ -227,13 +227,17 @@ _EXTRA_SQL = {
 }
 
 
-@query(_filled_sql(_ENTITY_SQL, "simulants", ""))
+_FILLED_ENTITIES = _filled_sql(_ENTITY_SQL, "simulants", "")
+_FILLED_EXTRAS = _filled_sql(_EXTRA_SQL, "simulant_extra", "t.publicly_available_composition,")
+
+
+@query(_FILLED_ENTITIES)
 def merged_entities(t: StandIns) -> DataFrame:
     entities, _ = merge.merge_entities(t["sheet"], _links(t), t["simulants"], t["simulant_extra"])
     return entities.select("simulant_id", *_ENTITY_SQL, F.size("filled_fields").alias("n_filled"))
 
 
-@query(_filled_sql(_EXTRA_SQL, "simulant_extra", "t.publicly_available_composition,"))
+@query(_FILLED_EXTRAS)
 def merged_extras(t: StandIns) -> DataFrame:
     _, extras = merge.merge_entities(t["sheet"], _links(t), t["simulants"], t["simulant_extra"])
     return extras.select("simulant_id", "publicly_available_composition", *_EXTRA_SQL, F.size("filled_fields").alias("n_filled"))
@@ -256,15 +260,21 @@ _NEW_MINERALS = f"""{_CLAIM.format(usable="mineral_composition_raw like '{%'", e
         from item where cast(json_extract_string(cell, '$.' || component_name) as double) > 0)"""
 
 
-@query(f"with {_LINKS}, {_NEW_MINERALS} select * from new_mineral")
+_MERGED_MINERALS = f"with {_LINKS}, {_NEW_MINERALS} select * from new_mineral"
+
+
+@query(_MERGED_MINERALS)
 def merged_minerals(t: StandIns) -> DataFrame:
     return merge.merge_minerals(t["sheet"], _links(t), t["compositions"])
 
 
-@query(f"""with {_LINKS}, {_CLAIM.format(usable="chemical_composition_raw like '{%' or chemical_composition_raw like '%;%'", existing="chemical_compositions", column="chemical_composition_raw")}
+_MERGED_CHEMISTRY = f"""with {_LINKS}, {_CLAIM.format(usable="chemical_composition_raw like '{%' or chemical_composition_raw like '%;%'", existing="chemical_compositions", column="chemical_composition_raw")}
     select simulant_id, 'oxide' as component_type, 'SiO2' as component_name,
            cast(regexp_extract(raw, '([0-9]+[.]5)', 1) as double) as value_wt_pct from cell
-    union all select simulant_id, 'oxide', 'Al2O3', 12.3::double from cell where raw like '%Al2O3%'""")
+    union all select simulant_id, 'oxide', 'Al2O3', 12.3::double from cell where raw like '%Al2O3%'"""
+
+
+@query(_MERGED_CHEMISTRY)
 def merged_chemistry(t: StandIns) -> DataFrame:
     return merge.merge_chemistry(t["sheet"], _links(t), t["chemical_compositions"])
 
@@ -295,14 +305,16 @@ def merged_sourcing(t: StandIns) -> DataFrame:
 
 @query(f"""with {_LINKS}
     select 'rows_matched' as measure, count(*) as n from sheet where name in (select name from link)
-    union all select 'rows_unmatched', count(*) from sheet where name not in (select name from link)""")
+    union all select 'rows_unmatched', count(*) from sheet where name not in (select name from link)
+    union all select 'fields_filled', cast((select sum(n_filled) from ({_FILLED_ENTITIES})) + (select sum(n_filled) from ({_FILLED_EXTRAS})) as bigint)
+    union all select 'minerals_added', (select count(*) from ({_MERGED_MINERALS}))
+    union all select 'chemistry_added', (select count(*) from ({_MERGED_CHEMISTRY}))""")
 def merge_row_statistics(t: StandIns) -> DataFrame:
     links = _links(t)
     entities, extras = merge.merge_entities(t["sheet"], links, t["simulants"], t["simulant_extra"])
     minerals = merge.merge_minerals(t["sheet"], links, t["compositions"])
     chemistry = merge.merge_chemistry(t["sheet"], links, t["chemical_compositions"])
-    report = merge.merge_statistics(t["sheet"], links, entities, extras, minerals, chemistry)
-    return report.filter(F.col("measure").startswith("rows_"))
+    return merge.merge_statistics(t["sheet"], links, entities, extras, minerals, chemistry)
 
 
 @query(f"""with {_LINKS}, {_NEW_MINERALS},

@@ -240,6 +240,14 @@ def duckdb_text(name: str) -> str:
     return _fill(STANDINS[name], DUCKDB_WORDS).format(**{t: t for t in BASE_TABLES})
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table that is a single file, dealt to all cores: its one row group would be one task.
+
+    Tables of several files keep the reader's partitions, so nothing of their texts is shuffled.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 class StandIns(Mapping[str, DataFrame]):
     """Base and derived tables of one data folder, made when asked for."""
 

@@ -53,17 +53,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/stratalog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on inputs too small to be split by the reader.
-
-    Work per row can be heavy (parsing pages, cutting texts) while a small file is one
-    partition. By the planner's size estimate only inputs of fewer blocks than cores are
-    shuffled; large ones keep their partitions.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    block = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 134217728)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * block else df

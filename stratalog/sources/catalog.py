@@ -27,15 +27,13 @@ class Catalog:
     @staticmethod
     def of(spark: SparkSession, **tables: DataFrame) -> Catalog:
         """A catalogue of the given tables; the others are empty with their schema."""
-        full = {
-            name: tables.get(name, spark.createDataFrame([], schema)) for name, (schema, _) in schemas.TABLES.items()
-        }
-        return Catalog(full)
+        empty = {name: spark.createDataFrame([], schema) for name, (schema, _) in schemas.TABLES.items() if name not in tables}
+        return Catalog({**empty, **tables})
 
     @staticmethod
     def load(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> Catalog:
         """Read one path per table. ``fmt``: parquet, jsonl (splittable) or json (one array per file)."""
-        return Catalog.of(spark, **{name: read_table(spark, path, schemas.TABLES[name][0], fmt)
+        return Catalog.of(spark, **{name: read_table(spark, path, schemas.SOURCES[name][0], fmt)
                                     for name, path in paths.items()})
 
     @staticmethod

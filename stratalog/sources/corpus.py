@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratalog.functions.citations import file_title
-from stratalog.session import spread
+from stratalog.functions.markup import visible_text
 
 MIN_TEXT = 100
 
 
-class _VisibleText(HTMLParser):
-    """Gathers text nodes; the parser itself knows when it is inside script or style."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.pieces: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        if self.cdata_elem not in ("script", "style"):
-            self.pieces.append(data)
-
-
-def visible_text(html: str | None) -> str:
-    """Text of an HTML page, its pieces joined by a blank; '' when it cannot be parsed."""
-    parser = _VisibleText()
-    try:
-        parser.feed(html or "")
-    except (AssertionError, ValueError):
-        return ""
-    return " ".join(parser.pieces)
-
-
 def html_to_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """Replace the HTML column by its text. Rows stay in their partitions; only Arrow batches cross."""
-    kept = [f for f in pages.schema if f.name != html]
-    schema = T.StructType([*kept, T.StructField(text, T.StringType())])
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.drop(columns=[html])
-            out[text] = [visible_text(h) for h in batch[html]]
-            yield out
-
-    return spread(pages).mapInPandas(convert, schema)
+    """Replace the HTML column by its text; rows stay in their partitions."""
+    return pages.select(*[c for c in pages.columns if c != html], visible_text(F.col(html)).alias(text))
 
 
 def corpus_texts(pages: DataFrame, html: str = "html") -> DataFrame:

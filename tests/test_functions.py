@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import cells, citations, labels, numbers
+from stratalog.functions import cells, citations, labels, markup, numbers
 
 
 def values(spark, rows, *exprs):
@@ -90,3 +93,39 @@ def test_chemical_cells(spark):
 def test_planar_distance(spark):
     point = [F.lit(float(v)) for v in (0, 179, 3, -177)]
     assert spark.range(1).select(numbers.planar_distance(*point)).first()[0] == (3 ** 2 + 356 ** 2) ** 0.5
+
+
+_FRAGMENTS = (
+    "<p>", "</p>", "one", "two ", "&amp;", "&lt", "&notit;", "&notin;", "&#65;", "&#x41;", "&#x80;", "&#0;", "&#99999999;", "&#xD800;",
+    "&#1;", "&#129;", "&nbsp;", "& ", "&bogus;", "<!-- a > b -->", "<br/>", "<a href=\"x>y\" t='q>r'>", "<a t=it's>",
+    "<script>var a='<p>'; </script>", "<STYLE type='a>b'>b{}</style >", "<script src=x/>", "<script async/>", "<!DOCTYPE html>", "<?pi x>",
+    "<![CDATA[ a > b ]]>", "\n", " < ", "é😀", "&CounterClockwiseContourIntegral;", "&copy", "<div\nclass=a>", "</ div>", "&#x1F600;",
+    "&", "&am", "<", "&#;", "&#x;", "&AElig", "&frac12x;", "&ngE;",
+)
+
+
+def _shown_by_parser(html: str) -> str:
+    """Text outside of scripts and styles, from the standard parser's events."""
+    events = []
+    parser = HTMLParser()
+    parser.handle_starttag = lambda tag, _: events.append(("open", tag))
+    parser.handle_endtag = lambda tag: events.append(("close", tag))
+    parser.handle_data = lambda data: events.append(("text", data))
+    parser.feed(html)
+    shown, hidden = [], False
+    for kind, value in events:
+        if kind == "text":
+            shown += [] if hidden else [value]
+        elif value in ("script", "style"):
+            hidden = kind == "open"
+    return " ".join(shown)
+
+
+def test_visible_text_equals_standard_parser(spark):
+    draw = random.Random(7)
+    pages = ["".join(draw.choices(_FRAGMENTS, k=draw.randint(0, 12))) for _ in range(1500)]
+    pages += ["", "x" * 50_000 + "<a " + "b='c' " * 20_000 + ">" + "&amp;" * 5_000, "<!--" + "x" * 50_000, "<script>" + "<p>" * 20_000]
+    df = spark.createDataFrame([*enumerate(pages), (-1, None)], "i int, html string")
+    got = dict(df.select("i", markup.visible_text(F.col("html"))).collect())
+    assert got.pop(-1) == ""
+    assert [(p, got[i]) for i, p in enumerate(pages) if got[i] != _shown_by_parser(p)] == []
