@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog import fixed
+from stratalog.functions.labels import key_order
 from stratalog.functions.numbers import strict_number
+from stratalog.operators.filters import positive_components
+from stratalog.operators.ordering import with_position
 
 
 def first_components(components: DataFrame, value: str, key: str = "composition_id", name: str = "component_name") -> DataFrame:
@@ -142,3 +145,10 @@ def totals_above(components: DataFrame, value: str, limit: float = 100.0, tolera
     """Entities whose components add up to more than ``limit``, rounding aside."""
     total = components.groupBy("simulant_id").agg(F.sum(value).alias("total"))
     return total.filter(F.col("total") > limit + tolerance)
+
+
+def ordered_components(components: DataFrame, value: str, key: str = "composition_id", name: str = "component_name",
+                       oxides_only: bool = False) -> DataFrame:
+    """Positive components with their position inside the entity: largest value first, equal ones in key order."""
+    rows = positive_components(components, value, oxides_only)
+    return with_position(rows, [F.desc(value), *key_order(F.col(key)), F.col(name)], ["simulant_id"])

@@ -306,3 +306,20 @@ def cluster_members(t: StandIns) -> DataFrame:
 def clusters_by_altitude(t: StandIns) -> DataFrame:
     rows = cluster.clusters_by_altitude(t["points"], [4.0, 6.5])
     return rows.withColumns({"lat": F.round("lat", 4), "lon": F.round("lon", 4)})
+
+
+_ORDERED = """select simulant_id, component_name, {value}, row_number() over (partition by simulant_id
+        order by {value} desc, length(composition_id), composition_id, component_name) as position
+    from {table} where {value} > 0{also}"""
+
+
+@query(_ORDERED.format(value="value_pct", table="compositions", also=""))
+def ordered_minerals(t: StandIns) -> DataFrame:
+    return compose.ordered_components(t["compositions"], "value_pct").select("simulant_id", "component_name", "value_pct", "position")
+
+
+@query(_ORDERED.format(value="value_wt_pct", table="chemical_compositions",
+                       also=" and component_type = 'oxide' and component_name <> 'sum'"))
+def ordered_chemistry(t: StandIns) -> DataFrame:
+    rows = compose.ordered_components(t["chemical_compositions"], "value_wt_pct", oxides_only=True)
+    return rows.select("simulant_id", "component_name", "value_wt_pct", "position")
