@@ -117,6 +117,25 @@ def composition_sum_issues(t: StandIns) -> DataFrame:
     return quality.composition_sum_issues(t["mineral_groups"], "value_pct")
 
 
+_COMPONENT_SUMS = """select 'composition_sum' as "check", 'error' as severity, simulant_id as key,
+        cast(round(sum(value_pct), 4) as varchar) as detail from compositions group by simulant_id having sum(value_pct) > 100 + 1e-6"""
+
+
+@query(_COMPONENT_SUMS)
+def component_sum_issues(t: StandIns) -> DataFrame:
+    """As `composition_sum_issues`, over the single minerals."""
+    return quality.composition_sum_issues(t["compositions"], "value_pct")
+
+
+@query(_ISSUES + f""", both_ as (select severity from issue union all select severity from ({_COMPONENT_SUMS}))
+    select case when count(*) filter (where severity = 'error') = 0 then 'PASS' else 'FAIL' end as result,
+    count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings from both_""")
+def verdict_with_sums(t: StandIns) -> DataFrame:
+    """The verdict over the integrity issues and the compositions above 100 %."""
+    issues = quality.integrity_issues(_short_catalog(t))
+    return quality.verdict(issues.unionByName(quality.composition_sum_issues(t["compositions"], "value_pct")))
+
+
 @query("""select 'R' || lpad(cast(h.n + row_number() over (order by length(w.simulant_id), w.simulant_id) as varchar),
         cast(greatest(3, length(cast(h.n + 1 as varchar))) as int), '0') as reference_id, w.simulant_id, w.name
     from word_names w, (select max(try_cast(substr(reference_id, 2) as bigint)) as n from "references") h""")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog import schemas
+from stratalog.operators.detail import landing_sites
 from stratalog.sources import corpus, sinks, spreadsheet
 from stratalog.sources.catalog import Catalog, country_codes, normalised_components, read_table
 
@@ -135,3 +136,13 @@ def test_keys_of_any_length(spark):
     keys = spark.createDataFrame([("R" + "1" * 19,), ("R" + "9" * 20,), ("R007",), ("X1",), (None,)], "k string")
     assert int(highest_number(keys, "k", "R").first()["highest"]) == int("9" * 20)
     assert int(highest_number(keys, "k", "R.").first()["highest"]) == 0
+
+
+def test_landing_sites_are_a_source(spark, tmp_path):
+    rows = [{"id": "a11", "name": "Apollo 11", "date": "July 20, 1969", "lat": 0.67, "lng": 23.47, "samples_returned": "21.5 kg",
+             "type": "Apollo", "geotechnical": {"bulk_density": 1.5}}]
+    path = tmp_path / "sites.json"
+    path.write_text(json.dumps(rows))
+    sites = Catalog.load(spark, {"lunar_sites": str(path)}, "json").lunar_sites
+    got = landing_sites(sites).select("id", "lat", "samples_kg", "geotechnical.bulk_density").first()
+    assert tuple(got) == ("a11", 0.67, 21.5, 1.5)
