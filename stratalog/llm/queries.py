@@ -38,9 +38,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratalog.llm.line_dedup import dedup_lines
+    from stratalog.llm.line_dedup import MIN_WORDS, dedup_lines
 
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_words=MIN_WORDS)
 
 
 @query
