@@ -10,6 +10,9 @@
 4. Candidates are verified on the shingles: 2 * common / (both sizes), counting repeats, must reach 0.8. At 0.8 two fingerprints differ
    by 13 bits with a deviation of 3, so the radius keeps 999 of 1000 such windows, and a leak has many overlapping ones.
 
+Items of more than LONGEST_ITEM words, too long for the lanes that count bits, are compared exactly: the shingles they share with a document are joined, and
+a running sum over window starts gives the common shingles of every window.
+
 All of it is DataFrame operations.
 """
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.columns import let, require, words_of
@@ -29,7 +32,7 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Bits of the bitmap: at least so many per item shingle, within these bounds; each hash sets three. A fuller bitmap filters less but loses nothing.
 BITS_PER_SHINGLE, FEWEST_BITS, MOST_BITS, PROBES = 128, 1 << 16, 1 << 21, (0, 21, 42)
-#: Sixteen-bit lanes count how many shingle hashes have a bit.
+#: Sixteen-bit lanes count how many shingle hashes have a bit; longer items are compared exactly.
 LONGEST_ITEM = 65_000
 KEY = ["doc_id", "text_hash"]
 
@@ -66,15 +69,26 @@ def distinct_by_repeat(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(F.transform(hashes, nth))
 
 
+def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    return items.select(F.col(item_id).alias("item_id"), words_of(F.lower(text)).alias("words"))
+
+
 def prepared_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """Items with words: item_id, n (words), size (words in a shingle), hashes, marks (hashes with repeats told apart) and fp."""
-    words = items.select(F.col(item_id).alias("item_id"), words_of(F.lower(text)).alias("words")).where(F.size("words").between(1, LONGEST_ITEM))
+    """Items with 1 to LONGEST_ITEM words: item_id, n (words), size (words in a shingle), hashes, marks (hashes with repeats told apart) and fp."""
+    words = item_words(items, item_id, text).where(F.size("words").between(1, LONGEST_ITEM))
     parts = [words.where(F.size("words") >= SHINGLE).withColumn("hashes", shingles(F.col("words"), SHINGLE)),
              words.where(F.size("words") < SHINGLE).withColumn("hashes", F.array(F.xxhash64("words")))]
     both = parts[0].unionByName(parts[1]).select("item_id", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("size"), "hashes")
     return durable(with_simhash(both.withColumn("marks", distinct_by_repeat(F.col("hashes"))), "hashes", "fp"))
 
 
+def long_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """Items above LONGEST_ITEM words: item_id, n (words), hashes and item, which tells texts apart."""
+    words = item_words(items, item_id, text).where(F.size("words") > max(LONGEST_ITEM, SHINGLE - 1))
+    hashed = words.withColumn("hashes", shingles(F.col("words"), SHINGLE)).select("item_id", F.size("words").alias("n"), "hashes", F.xxhash64("words").alias("item"))
+    return durable(hashed.dropDuplicates(["item_id", "item"]))
+
+
 def bitmap(items: DataFrame) -> tuple[Column, int]:
     """A literal array of 64-bit words with three bits of each of the items' hashes set, and its number of bits, a power of two."""
     hashes = items.select(F.explode("hashes").alias("h"))
@@ -113,7 +127,7 @@ def suspects(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
           similar: float = SIMILAR) -> DataFrame:
     """One row per document and item it leaks: doc_id, text_hash, item_id, similarity, start (first word of the most similar window),
-    distance (of the fingerprints).
+    distance (of the fingerprints; null for items of more than LONGEST_ITEM words, which have none).
 
     Items without words leak nowhere; items under five words are one shingle. A document shorter than an item is one
     window. Null texts have no words. Rows are told apart by doc_id (null is a value) and text: repeated rows give one result.
@@ -128,6 +142,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         own = ready.where(F.col("size") == size)
         part = _leaks(lower, own, size, similar)
         found = part if found is None else found.unionByName(part)
+    longest = long_items(items, item_id, item_text)
+    if not longest.isEmpty():
+        part = _long_leaks(lower, longest, similar)
+        # An item_id may name texts of both kinds.
+        found = part if found is None else _most_similar(found.unionByName(part))
     if found is None:
         found = _leaks(lower.limit(0), ready, SHINGLE, similar)
     return found
@@ -166,11 +185,45 @@ def _leaks(lower: DataFrame, items: DataFrame, size: int, similar: float) -> Dat
     common = F.size(F.array_intersect("window_marks", "marks"))
     scored = pairs.withColumn("distance", distance).withColumn("window_marks", distinct_by_repeat(F.col("window"))).withColumn(
         "similarity", 2 * common / (F.size("window") + F.size("marks"))).where(F.col("similarity") >= similar)
+    return _most_similar(scored)
+
+
+def _most_similar(scored: DataFrame) -> DataFrame:
+    """Of each document and item the most similar window, the earliest of equal ones."""
     best = F.max_by(F.struct("start", "distance"), F.struct("similarity", -F.col("start")))
     return scored.groupBy(*KEY, "item_id").agg(F.max("similarity").alias("similarity"), best.alias("best")).select(
         *KEY, "item_id", "similarity", F.col("best.start").alias("start"), F.col("best.distance").alias("distance"))
 
 
+def _long_leaks(lower: DataFrame, items: DataFrame, similar: float) -> DataFrame:
+    """Leaks of items by an exact join of shingles.
+
+    A window has min(c, its own number) of a shingle that the item has c times: of the shingle's places in the document, one counts for a
+    window that holds it but not the place c before it. So each place counts for one range of window starts, and sums over the ranges' ends give
+    all windows. Sums change only where a range begins or ends, so the earliest best window is among these starts.
+    """
+    near = durable(suspects(lower, items, SHINGLE))
+    wanted = items.select("item_id", "item", F.col("n").alias("length"), F.explode("hashes").alias("h")).groupBy("item_id", "item", "length", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    place = F.explode(F.transform("places", lambda p: F.struct(p.alias("p"), F.get("hashes", p).alias("h")))).alias("at")
+    hits = near.select(*KEY, "n", place).select(*KEY, "n", "at.p", "at.h").join(wanted, "h")
+    pair = [*KEY, "n", "item_id", "item", "length"]
+    own = F.least("length", "n") - (SHINGLE - 1)
+    last = F.greatest(F.col("n") - F.col("length"), F.lit(0))
+    grouped = hits.groupBy(*pair, "h", "c").agg(F.sort_array(F.collect_list("p")).alias("places"))
+
+    def span(p: Column, i: Column) -> Column:
+        before = F.when(i >= F.col("c"), F.get("places", i - F.col("c"))).otherwise(F.lit(-1))
+        return F.struct(F.greatest(before + 1, p - own + 1, F.lit(0)).alias("low"), F.least(p, last).alias("high"))
+
+    spans = grouped.select(*pair, F.explode(F.transform("places", span)).alias("s")).where(F.col("s.low") <= F.col("s.high"))
+    ends = F.explode(F.array(F.struct(F.col("s.low").alias("start"), F.lit(1).alias("step")), F.struct((F.col("s.high") + 1).alias("start"), F.lit(-1).alias("step")))).alias("e")
+    steps = spans.select(*pair, ends).groupBy(*pair, F.col("e.start").alias("start")).agg(F.sum("e.step").alias("step"))
+    common = F.sum("step").over(Window.partitionBy(*pair).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    scored = steps.withColumn("common", common).where(F.col("start") <= last).withColumn(
+        "similarity", 2 * F.col("common") / (own + F.col("length") - (SHINGLE - 1))).where(F.col("similarity") >= similar)
+    return _most_similar(scored.withColumn("distance", F.lit(None).cast("int")))
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that leak no item, all columns as they were."""
     bad = durable(leaks(docs, items, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("_leak_doc_id"), F.col("text_hash").alias("_leak_text_hash")).distinct())

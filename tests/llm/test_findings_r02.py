@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from stratalog.llm import exchange, line_dedup, queries  # noqa: E402
+from stratalog.llm import decontaminate, exchange, line_dedup, queries  # noqa: E402
 
 
 def stored(spark, folder, **tables):
@@ -62,3 +62,35 @@ def test_runs_by_words_equal_the_plain_version(spark, monkeypatch):
     for words in (1, 3, 4, 9):
         got = {x["doc_id"]: x["n_lines_removed"] for x in line_dedup.dedup_lines(df, min_words=words).collect()}
         assert got == plain_dedup(docs, words)
+
+
+def test_items_above_the_lanes_are_found(spark, tmp_path):
+    n = decontaminate.LONGEST_ITEM + 500
+    item = " ".join(f"w{k % 40_000}" for k in range(n))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, item[: len(item) // 2]), (3, "w1 w2 w3 w4 w5 w6"), (4, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "one two three four five six")], "item_id bigint, text string")
+    got = queries.QUERIES["op7_decontaminate"](spark, stored(spark, tmp_path, documents=docs, benchmark=items)).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1.0, 1, None)]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == {2, 3, 4}
+
+
+@pytest.mark.parametrize("longest", [0, 30])
+def test_exact_windows_equal_brute_force(spark, monkeypatch, longest):
+    monkeypatch.setattr(decontaminate, "LONGEST_ITEM", longest)
+    r = random.Random(longest)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(r.choice(words) for _ in range(n))) for k, n in enumerate([12, 40, 25, 70, 31])] + [(90, None), (92, "x y " * 12), (93, "x y z " * 15)]
+    docs = []
+    for i in range(60):
+        own = [r.choice(words) for _ in range(r.randrange(80))]
+        item = items[i % 5][1].upper().split()
+        for _ in range(i % 3):
+            item[r.randrange(len(item))] = "changed"
+        own[r.randrange(len(own) + 1) : 0] = item * (1 + i % 2)
+        docs.append((i, " ".join(own)))
+    docs += [(70, items[3][1]), (71, " ".join(items[3][1].split()[:60])), (72, "x y " * 40), (73, None), (74, "x y z " * 13), (None, items[1][1])]
+    df = spark.createDataFrame(docs + docs[:3], "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items + items[3:4], "item_id bigint, text string")
+    found = {(x["doc_id"], x["item_id"]): (pytest.approx(x["similarity"]), x["start"]) for x in decontaminate.leaks(df, bench).collect()}
+    want = brute.leaks(docs, items)
+    assert want == found and len(want) > 40
