@@ -150,6 +150,11 @@ def fit(df: DataFrame, text: str, label: str, key: str) -> Model:
     return train(x, np.array([languages.index(l) for l, _ in got], int), languages)
 
 
+def any_language() -> Model:
+    """A model of one unnamed language, which takes every text with a letter."""
+    return train(np.zeros((0, FEATURES), np.float32), np.zeros(0, int), [""])
+
+
 def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """``df`` with the predicted language, its score (0 to 1) and a flag for two near codewords.
 

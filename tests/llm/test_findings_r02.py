@@ -94,3 +94,13 @@ def test_exact_windows_equal_brute_force(spark, monkeypatch, longest):
     found = {(x["doc_id"], x["item_id"]): (pytest.approx(x["similarity"]), x["start"]) for x in decontaminate.leaks(df, bench).collect()}
     want = brute.leaks(docs, items)
     assert want == found and len(want) > 40
+
+
+def test_documents_without_labels_stay_in_the_pipeline(spark):
+    texts = [(1, "the and of"), (2, "é"), (3, "12 !?"), (4, ""), (5, None), (None, "word")]
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t in texts], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, unlabelled, "")
+    assert kept.columns == unlabelled.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None}
+    # Labels that no row can be chosen by.
+    nameless = spark.createDataFrame([(None, t, "en") for _, t in texts], "doc_id bigint, text string, lang string")
+    assert {r["text"] for r in corpus_pipeline.identify_language(spark, nameless, "").collect()} == {"the and of", "é", "word"}
