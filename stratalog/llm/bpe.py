@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.columns import require
+from stratalog.llm.columns import give_back, require
 
 # The pre-tokenizer's pattern, as published with the vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -216,7 +216,9 @@ class Codec:
 
 @lru_cache(2)
 def codec_for(definition: str, remember: int = REMEMBERED) -> Codec:
-    return Codec(Vocabulary(definition, remember))
+    made = Codec(Vocabulary(definition, remember))
+    give_back()
+    return made
 
 
 def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded",
@@ -245,6 +247,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", ids: str
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(ends, flat), pa.array([d[1].decode("utf-8", "replace") for d in done], pa.string())],
                     [*part.schema.names, ids, decoded])
+        give_back()
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, `{ids}` array<int>, `{decoded}` string")

@@ -10,8 +10,8 @@
 4. Candidates are verified on the shingles: 2 * common / (both sizes), counting repeats, must reach 0.8. At 0.8 two fingerprints differ
    by 13 bits with a deviation of 3, so the radius keeps 999 of 1000 such windows, and a leak has many overlapping ones.
 
-Items of more than LONGEST_ITEM words, too long for the lanes that count bits, are compared exactly: the shingles they share with a document are joined, and
-a running sum over window starts gives the common shingles of every window.
+A window costs as much as its item is long, and each place has as many windows, so items of more than LONGEST_ITEM words go another way, linear in the places: they are
+compared exactly. The shingles they share with a document are joined, and a running sum over window starts gives the common shingles of every window.
 
 All of it is DataFrame operations.
 """
@@ -32,8 +32,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Bits of the bitmap: at least so many per item shingle, within these bounds; each hash sets three. A fuller bitmap filters less but loses nothing.
 BITS_PER_SHINGLE, FEWEST_BITS, MOST_BITS, PROBES = 128, 1 << 16, 1 << 21, (0, 21, 42)
-#: Sixteen-bit lanes count how many shingle hashes have a bit; longer items are compared exactly.
-LONGEST_ITEM = 65_000
+#: Items of more words are compared exactly. (Sixteen-bit lanes count how many shingle hashes have a bit, so 65,000 is the most.)
+LONGEST_ITEM = 1_000
 KEY = ["doc_id", "text_hash"]
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stratalog.llm.columns import shuffle_partitions
+from stratalog.llm.columns import give_back, shuffle_partitions
 from stratalog.session import durable
 
 #: Bytes of rows in a pack; a longer row is a pack by itself.
@@ -87,6 +87,8 @@ def pack(df: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
                     held, size, number = [], 0, number + 1
         if held:
             yield out()
+        held.clear()
+        give_back()
 
     return durable(df.mapInArrow(run, "pack bigint, payload binary"))
 

@@ -105,3 +105,55 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.token_counts import count_tokens, read_vocabulary
 
     return count_tokens(documents(spark, sf_dir), read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.pii import report
+
+    return report(documents(spark, sf_dir))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+SQL["op12_collocations"] = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents),
+tokens as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') as ws from pieces),
+totals as (select lang, sum(len(ws)) as n from tokens group by lang),
+spans as (select lang, ws, size, unnest(range(1, len(ws) - size + 2)) as i from tokens, (values (1), (2), (3), (4), (5)) as sizes(size) where len(ws) >= size),
+counts as (
+    select lang, array_to_string(ws[i:i + size - 1], ' ') as phrase, size, count(*) as c
+    from spans group by 1, 2, 3 having count(*) >= 100),
+cuts as (
+    select p.lang, p.phrase, p.size, p.c as a, k, array_to_string(string_split(p.phrase, ' ')[1:k], ' ') as head, array_to_string(string_split(p.phrase, ' ')[k + 1:], ' ') as rest
+    from counts p, (values (1), (2), (3), (4)) as ks(k) where p.size > k),
+scores as (
+    select c.lang, c.phrase, c.size, c.a, c.k, h.c as l, t.c as r, n::bigint as n, (1000::hugeint * c.a * n::hugeint) // (h.c::hugeint * t.c) as score
+    from cuts c join counts h on h.lang = c.lang and h.phrase = c.head join counts t on t.lang = c.lang and t.phrase = c.rest join totals on totals.lang = c.lang),
+candidates as (
+    select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+    select q.lang, array_to_string(string_split(q.phrase, ' ')[s:s + len - 1], ' ') as phrase, q.a
+    from candidates q, (values (2), (3), (4)) as lens(len), (values (1), (2), (3), (4)) as starts(s) where len < q.size and s + len - 1 <= q.size),
+kept as (
+    select c.* from candidates c where not exists (select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.a >= 100 * c.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase collate "binary") as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.whitening import whiten
+
+    done = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    # Exact up to 38 digits in the operator; beyond a long there is no value here.
+    return done.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))

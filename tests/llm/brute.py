@@ -36,14 +36,18 @@ def covered(sequences: list[list], window: int) -> list[list[bool]]:
     return out
 
 
-def dedup_lines(docs, min_lines: int) -> list[tuple]:
-    """(doc_id, text, lines removed), in order."""
+def dedup_lines(docs, min_lines: int, min_words: int | None = None) -> list[tuple]:
+    """(doc_id, text, lines removed), in order. ``min_words``: later copies of single lines of so many words, or that are all of a document, go too."""
     docs = by_id(docs)
     split = [d[1].split("\n") if d[1] else [] for d in docs]
     filled = [[i for i, x in enumerate(s) if x.strip()] for s in split]
     marks = covered([[s[i] for i in f] for s, f in zip(split, filled)], min_lines)
-    out = []
+    out, seen = [], set()
     for d, s, f, m in zip(docs, split, filled, marks):
+        if min_words is not None:
+            for n, i in enumerate(f):
+                m[n] = m[n] or s[i] in seen and (len(f) == 1 or len(s[i].encode().split()) >= min_words)
+                seen.add(s[i])
         drop = {i for i, g in zip(f, m) if g}
         text = d[1] if not drop else "" if all(m) else "\n".join(x for i, x in enumerate(s) if i not in drop)
         out.append((d[0], text, len(drop)))

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from stratalog.llm import queries  # noqa: E402
+from stratalog.llm import line_dedup, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_pipeline_equals_the_plain_versions_in_turn(spark, tmp_path):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
 
     docs = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
-    docs = [(i, t) for i, t, lost in brute.dedup_lines(docs, 2) if not (lost and t == "")]
+    docs = [(i, t) for i, t, lost in brute.dedup_lines(docs, 2, line_dedup.MIN_WORDS) if not (lost and t == "")]
     docs = [d for d, (i, _, c) in zip(docs, brute.near_duplicates(docs)) if i == c]
     leaked = {i for i, _ in brute.leaks(docs, items)}
     docs = [d for d in docs if d[0] not in leaked]
