@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.columns import fresh, require
+from stratalog.llm.columns import require
 from stratalog.llm.exchange import mix, rows_in, squeeze, to_bytes, unsqueeze
 from stratalog.session import durable
 
 LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
-#: Shards in a cycle.
-SHARDS = 3
+#: Shards in a cycle. Every step deals the open counts again, so more shards cost more shuffle.
+SHARDS = 2
 #: Bytes of texts in a pack.
 PACK_BYTES = 8 << 20
 #: The filter has so many bits per phrase that can become frequent, between these bounds.
@@ -48,13 +48,13 @@ _BREAK = b"\n"
 
 
 class Pack:
-    """Words of texts of one language: distinct words, and their numbers in order; -1 ends a piece."""
+    """Words of texts of one language: distinct words with a 64-bit hash of each and the language, and their numbers in order; -1 ends a piece."""
 
-    def __init__(self, words: pa.Array, codes: np.ndarray):
-        self.words, self.codes = words, codes
+    def __init__(self, words: pa.Array, codes: np.ndarray, keys: np.ndarray):
+        self.words, self.codes, self.keys = words, codes, keys
 
     @staticmethod
-    def of_texts(texts: list[bytes]) -> Pack:
+    def of_texts(texts: list[bytes], lang: str) -> Pack:
         tokens = _BREAK.join(texts).translate(_BYTES).replace(_BREAK, b" \n ").split(b" ")
         coded = pa.array(tokens, pa.binary()).dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy()
@@ -63,20 +63,17 @@ class Pack:
         number[real] = np.arange(real.sum())
         number[~real] = [-1 if w == _BREAK else -2 for w in words.filter(pa.array(~real)).to_pylist()]
         codes = number[codes]
-        return Pack(words.filter(pa.array(real)), codes[codes != -2].astype(np.int32))
+        words, seed = words.filter(pa.array(real)), xxhash.xxh64_intdigest(lang.encode())
+        keys = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
+        return Pack(words, codes[codes != -2].astype(np.int32), keys)
 
     def to_bytes(self) -> bytes:
-        return squeeze((to_bytes(pa.table([self.words], ["w"])), self.codes))
+        return squeeze((to_bytes(pa.table([self.words], ["w"])), self.codes, self.keys))
 
     @staticmethod
     def of_bytes(raw: bytes) -> Pack:
-        words, codes = unsqueeze(raw)
-        return Pack(rows_in(words).column("w").combine_chunks(), codes)
-
-    def keys(self, lang: str) -> np.ndarray:
-        """A 64-bit hash of each word with its language."""
-        seed = xxhash.xxh64_intdigest(lang.encode())
-        return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words.to_pylist()], np.uint64)
+        words, codes, keys = unsqueeze(raw)
+        return Pack(rows_in(words).column("w").combine_chunks(), codes, keys)
 
     def phrases(self, starts: np.ndarray, size: int) -> pa.Array:
         """The words of phrases, joined by spaces."""
@@ -129,7 +126,7 @@ def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int)
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number
             for name, texts in held.items():
-                made = Pack.of_texts(texts)
+                made = Pack.of_texts(texts, name)
                 yield pa.RecordBatch.from_arrays([pa.array([number % shards], pa.int32()), pa.array([name]), pa.array([int((made.codes >= 0).sum())], pa.int64()),
                                                   pa.array([made.to_bytes()], pa.binary())], ["shard", "lang", "n", "payload"])
                 number += 1
@@ -148,12 +145,12 @@ def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int)
     return durable(rows.mapInArrow(run, "shard int, lang string, n bigint, payload binary"))
 
 
-def counted(pack: Pack, lang: str, now: Filter, before: Filter | None, words: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+def counted(pack: Pack, now: Filter, before: Filter | None, words: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """What a pack counts in a step: (size, distinct phrases, counts). ``before``: the filter of one cycle ago; ``words``: single words too."""
     codes = pack.codes
     if words and len(pack.words):
         yield 1, pack.words.cast(pa.string()), np.bincount(codes[codes >= 0], minlength=len(pack.words))
-    of_word = pack.keys(lang)
+    of_word = pack.keys
     at = np.flatnonzero(codes >= 0)
     key, name = of_word[codes[at]], codes[at].astype(np.int64)
     # Per place that still counts: the phrase' start, hash and number, whether it is frequent now, whether it was one cycle ago.
@@ -217,7 +214,7 @@ def phrase_counts(packs: DataFrame, least: int = LEAST, longest: int = LONGEST,
         def run(batches: Iterator[pa.RecordBatch], known=known, counts_words=step < shards) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for size, phrases, count in counted(Pack.of_bytes(raw.as_py()), lang, *known.value, counts_words, longest):
+                    for size, phrases, count in counted(Pack.of_bytes(raw.as_py()), *known.value, counts_words, longest):
                         yield from pa.table([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string()), phrases,
                                              pa.array(np.full(len(phrases), size, np.int32)), pa.array(count.astype(np.int64))],
                                             ["lang", "phrase", "size", "c"]).to_batches(max_chunksize=20_000)
