@@ -123,6 +123,41 @@ def test_chain_of_points_and_zero_radius(spark):
     assert {r["ord"]: r["founder"] for r in cluster.cluster_members(df, 0.0).collect()} == {i: i for i in range(12)}
 
 
+@pytest.mark.parametrize("spacing", [0.3, 0.6])
+def test_long_chains_end_in_few_rounds(spark, monkeypatch, spacing):
+    """Points along a line in the order of their ids wait for each other from end to end."""
+    points = [(i, i * spacing, (i % 3) * 0.1) for i in range(10_000)]
+    rounds, walked = [], cluster._walked
+    monkeypatch.setattr(cluster, "_walked", lambda undecided, side: rounds.append(side) or walked(undecided, side))
+    got = cluster.cluster_members(spark.createDataFrame(points, "ord long, lat double, lon double"), 1.0)
+    founders, want = [], {}
+    for i, lat, lon in points:  # earlier founders within the radius are among the last few
+        near = [f for f in founders[-8:] if math.sqrt((points[f][1] - lat) ** 2 + (points[f][2] - lon) ** 2) <= 1.0]
+        want[i] = near[0] if near else i
+        founders += [] if near else [i]
+    assert {r["ord"]: r["founder"] for r in got.collect()} == want
+    assert len(rounds) <= 8 and rounds[-1] > rounds[0]
+
+
+@pytest.mark.parametrize("heads", [2, 16])
+def test_many_radii_share_their_rounds(spark, monkeypatch, heads):
+    monkeypatch.setattr(cluster, "_HEADS", heads)
+    monkeypatch.setattr(cluster, "_FIRST_SIDE", 4)
+    rnd = random.Random(heads)
+    points = [(i, rnd.choice([i * 0.01, round(rnd.uniform(0, 3), 2)]), round(rnd.uniform(0, 3), 1)) for i in range(300)]
+    df = spark.createDataFrame(points + [(300, None, 1.0), (301, float("nan"), 1.0)], "ord long, lat double, lon double")
+    starts, minima = [], cluster._founders
+    monkeypatch.setattr(cluster, "_founders", lambda cells, hot: starts.append(1) or minima(cells, hot))
+    radii = [0.15, 0.4, 1.0, 0.0]
+    got = {(r["radius"], r["founder"]): r["count"] for r in cluster.clusters_of(df, radii).collect()}
+    want = {}
+    for radius in radii:
+        found = greedy(points, radius) if radius else {i: i for i, _, _ in points}
+        for f in [*found.values(), 300, 301]:
+            want[radius, f] = want.get((radius, f), 0) + 1
+    assert got == want and len(starts) == 1
+
+
 def pattern(name):
     return re.compile(r"(?<![A-Za-z0-9])" + re.escape(name).replace(r"\-", r"[\s\-]?") + r"(?![A-Za-z0-9])", re.I)
 
