@@ -90,6 +90,31 @@ def test_fuzzy_equals_brute_force(spark):
     assert {r["name"]: (r["simulant_id"], r["ratio"]) for r in got.collect()} == want
 
 
+def test_a_piece_in_a_third_of_all_names_is_split(spark):
+    """No group of the join of pieces compares more than the bound, and nothing is lost."""
+    rnd = random.Random(2)
+    targets = [(f"S{k:04d}", ("common stem of names " if k % 3 == 0 else "".join(rnd.choice("abcdefghij") for _ in range(12))) + f"{k:04d}") for k in range(900)]
+    names = [(t + "x",) for _, t in targets]
+    left = spark.createDataFrame([(a, -1 if k % 3 == 0 else k) for k, (a,) in enumerate(names)], "a string, key bigint")
+    right = spark.createDataFrame([(t, -1 if k % 3 == 0 else k) for k, (_, t) in enumerate(targets)], "b string, key bigint")
+    old, linkage._SHARING = linkage._SHARING, 40
+    try:
+        met = linkage._met(left, right)
+        groups = [r["count"] for r in met.groupBy("key", "i", "j").count().collect()]
+        assert sum(groups) == 300 * 300 + 600 and max(groups) <= 4 * 40 * 40 and len(groups) >= 600 + 63
+        assert met.select("a", "b").distinct().count() == sum(groups)
+        got = linkage.fuzzy_matches(spark.createDataFrame(names[:60], "name string"), spark.createDataFrame(targets[:90], "simulant_id string, name string"))
+        found = {r["name"]: r["simulant_id"] for r in got.collect()}
+    finally:
+        linkage._SHARING = old
+    want = {}
+    for (a,) in names[:60]:
+        scores = [SequenceMatcher(None, a, t).ratio() for _, t in targets[:90]]
+        if max(scores) > 0.8:
+            want[a] = targets[scores.index(max(scores))][0]
+    assert found == want
+
+
 def greedy(points, radius):
     founder = {}
     for i, (_, lat, lon) in enumerate(points):

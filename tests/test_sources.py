@@ -36,6 +36,45 @@ def test_country_codes(spark, tmp_path):
     assert got == ["FRA", None, "DEU"]
 
 
+@pytest.mark.parametrize("block", ["16", "97", "1m"])
+def test_csv_in_byte_ranges_equals_one_reader(spark, tmp_path, block):
+    import csv
+    import io
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(int(block.rstrip("m")))
+    bits = ["a", "é", "月", "\U0001F600", ",", '"', "\n", "\r\n", " ", "long " * 9]
+    want = {}
+    for file, ending in (("x", "\n"), ("y", "\r\n")):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=ending)
+        writer.writerow(["k", 'the "v"\nof it', "w"])
+        for k in range(60):
+            row = [f"{file}{k}", "<" + "".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) + ">", rnd.choice(["", 'in "the" middle', "z"])]
+            writer.writerow(row)
+            if k % 9 == 0:
+                out.write(ending)
+            want[row[0]] = (row[1], row[2] or None)
+        (tmp_path / f"{file}.csv").write_bytes(out.getvalue().encode())
+    (tmp_path / "y.csv").write_bytes((tmp_path / "y.csv").read_bytes() + b'last,5" pipe,stray "quotes" stay\n')
+    want["last"] = ('5" pipe', 'stray "quotes" stay')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = spreadsheet.read_csv(spark, str(tmp_path), {"k": "k", 'the "v"\nof it': "v", "w": "w", "missing": "m"})
+        rows = got.select("k", "v", "w", "m", "ord.file", "ord.row").collect()
+        if block == "16":
+            assert spark.read.text(str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["k"]: (r["v"], r["w"]) for r in rows} == want and len(rows) == len(want) and all(r["m"] is None for r in rows)
+    order = [r["k"] for r in sorted(rows, key=lambda r: (r["file"], r["row"]))]
+    assert order == [f"x{k}" for k in range(60)] + [f"y{k}" for k in range(60)] + ["last"]
+
+
 def test_spreadsheet(spark, tmp_path):
     with open(tmp_path / "s.csv", "w", newline="") as f:
         out = csv.writer(f)
