@@ -126,7 +126,7 @@ with pieces as (
     select coalesce(lang, 'und') as lang,
            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
     from documents),
-tokens as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') as ws from pieces),
+tokens as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces),
 totals as (select lang, sum(len(ws)) as n from tokens group by lang),
 spans as (select lang, ws, size, unnest(range(1, len(ws) - size + 2)) as i from tokens, (values (1), (2), (3), (4), (5)) as sizes(size) where len(ws) >= size),
 counts as (
