@@ -164,3 +164,12 @@ AVAILABILITY_BADGES = {
     "Production stopped": "red",
     "Unavailable": "slate",
 }
+
+# Headings of the Markdown report, by section.
+REPORT_HEADINGS = {
+    1: ("# Source-Simulant Reference Index", ""),
+    2: ("## Multi-Simulant Sources (5+ simulants)", "", "| Source | Simulants | Title |", "|--------|-----------|-------|"),
+    3: ("", "## Simulant Coverage", "", "| Simulant | Sources | Top Source |", "|----------|---------|------------|"),
+    4: ("", "## Simulants with No Source Coverage", ""),
+}
+REPORT_ALL_COVERED = "All simulants have at least one source."

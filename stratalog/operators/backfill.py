@@ -11,6 +11,7 @@ from stratalog import fixed
 from stratalog.functions.citations import (
     bare_file_name, document_doi, document_title, file_authors, file_work_title, file_year,
 )
+from stratalog.functions.labels import key_order
 from stratalog.operators.ordering import with_new_keys
 from stratalog.operators.quality import coverage, without_children
 
@@ -69,6 +70,11 @@ def new_citations(
     return with_new_keys(rows, references, "reference_id", "R", [F.col("simulant_id")])
 
 
+def preview(citations: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` new citations in order of their keys: a look at what a backfill would write."""
+    return citations.orderBy(*key_order(F.col("reference_id"))).limit(n)
+
+
 def coverage_change(entities: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """Entities covered and missing before and after the backfill."""
     return coverage(entities, {"before": before, "after": after}, "simulant_id", "simulant_id")

@@ -184,3 +184,8 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str, fmt: str = "par
     """Write report tables, one folder each."""
     for name, df in reports.items():
         df.write.mode("errorifexists").format(fmt).option("header", True).save(f"{folder.rstrip('/')}/{name}")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write (section, position, line) as text in this order: the part files, one after another by name, are the document."""
+    lines.orderBy("section", "position").select("line").write.mode("errorifexists").text(path)
