@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog import schemas
+from stratalog.session import durable
+from stratalog.sources.documents import document_rows
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,14 @@ class Catalog:
 
     @staticmethod
     def load_bundle(spark: SparkSession, path: str) -> Catalog:
-        """Read one JSON object that holds an array per table; a missing table is empty."""
-        whole = T.StructType([T.StructField(n, T.ArrayType(_texts(s))) for n, (s, _) in schemas.TABLES.items()])
-        bundle = spark.read.schema(whole).json(path, multiLine=True)
-        return Catalog.of(spark, **{
-            name: _typed(bundle.select(F.inline(name)), schema) for name, (schema, _) in schemas.TABLES.items()
-        })
+        """Read one JSON object that holds an array per table, or a folder of them; a missing table is empty. Read in byte ranges, once for all tables."""
+        rows = durable(document_rows(spark, path))
+        return Catalog.of(spark, **{name: _rows_of(rows, name, schema) for name, (schema, _) in schemas.TABLES.items()})
+
+
+def _rows_of(rows: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    own = rows.where(F.col("table") == table)
+    return _typed(own.select(F.from_json("row", _texts(schema)).alias("row")).select("row.*"), schema)
 
 
 def _texts(schema: T.StructType) -> T.StructType:
@@ -79,8 +83,8 @@ def normalised_components(df: DataFrame, value: str) -> DataFrame:
 def country_codes(spark: SparkSession, path: str) -> DataFrame:
     """ISO-3 codes of a GeoJSON country file; '-99' and '' are null."""
     # A map keeps keys apart that differ only by case.
-    schema = "features array<struct<properties: map<string, string>>>"
-    feature = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features.properties").alias("p"))
+    features = document_rows(spark, path).where("table = 'features'")
+    feature = features.select(F.from_json("row", "properties map<string, string>")["properties"].alias("p"))
     return feature.select(country_code(F.col("p")).alias("country_code"), F.col("p").getItem("NAME").alias("name"))
 
 

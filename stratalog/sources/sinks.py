@@ -15,6 +15,7 @@ from stratalog.operators.detail import citation_section
 from stratalog.operators.facets import bounded_names
 from stratalog.operators.ordering import last_per_key, with_position
 from stratalog.sources.catalog import Catalog
+from stratalog.sources.documents import as_documents
 
 
 def conformed(df: DataFrame, table: str) -> DataFrame:
@@ -89,6 +90,13 @@ def write_bundle(catalog: Catalog, folder: str) -> None:
         df.write.mode("errorifexists").json(f"{folder.rstrip('/')}/{name}")
 
 
+def write_bundle_documents(catalog: Catalog, folder: str) -> None:
+    """The bundle as JSON documents that `Catalog.load_bundle` reads back from the folder. Every part file with rows is a whole
+    document with the next rows of its table, so none passes through one task and key order holds from file to file."""
+    for name, df in bundle_tables(catalog).items():
+        as_documents(df, name).write.mode("errorifexists").text(f"{folder.rstrip('/')}/{name}")
+
+
 #: Citations that are joined to one text before the texts of an entity are.
 _JOINED_TOGETHER = 1000
 

@@ -67,9 +67,9 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _settled(lines: DataFrame) -> DataFrame:
-    """(file, block, inside, offset): whether a range begins inside of quotes, and the records that begin before it."""
-    last = F.max_by(F.struct("after_0", "after_1", "starts_0", "starts_1"), "line").alias("last")
+def settled(lines: DataFrame, count: str = "starts", line: str = "line") -> DataFrame:
+    """(file, block, inside, offset): whether a range begins inside of quotes, and what is counted before it: the records that begin."""
+    last = F.max_by(F.struct("after_0", "after_1", f"{count}_0", f"{count}_1"), line).alias("last")
     ranges = lines.groupBy("file", "block").agg(last).select("file", "block", "last.*")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block")
@@ -79,7 +79,7 @@ def _settled(lines: DataFrame) -> DataFrame:
     known = ranges.withColumn("flips", flips.over(upto)).withColumn("set", (constant + F.col("flips")) % 2)
     set_before, flips_before = F.last("set", ignorenulls=True).over(earlier), F.coalesce(F.lag("flips").over(upto), F.lit(0))
     told = known.withColumn("inside", (F.coalesce(set_before, F.lit(0)) + flips_before) % 2 == 1)
-    own = F.when(F.col("inside"), F.col("starts_1")).otherwise(F.col("starts_0"))
+    own = F.when(F.col("inside"), F.col(f"{count}_1")).otherwise(F.col(f"{count}_0"))
     return told.withColumn("own", own).select("file", "block", "inside", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("offset"))
 
 
@@ -90,7 +90,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     read = spark.read.text(path, lineSep="\n").select("_metadata.file_path", "_metadata.file_block_start", "value")
     lines = read.mapInArrow(_followed, _LINES)
-    placed = lines.join(_settled(lines), ["file", "block"])
+    placed = lines.join(settled(lines), ["file", "block"])
 
     def case(name: str) -> F.Column:
         return F.when(F.col("inside"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
