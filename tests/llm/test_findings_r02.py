@@ -64,20 +64,33 @@ def test_runs_by_words_equal_the_plain_version(spark, monkeypatch):
         assert got == plain_dedup(docs, words)
 
 
-def test_items_above_the_lanes_are_found(spark, tmp_path):
-    n = decontaminate.LONGEST_ITEM + 500
+def test_long_items_are_found(spark, tmp_path):
+    n = 70_000
     item = " ".join(f"w{k % 40_000}" for k in range(n))
     docs = spark.createDataFrame([(1, f"before {item} after"), (2, item[: len(item) // 2]), (3, "w1 w2 w3 w4 w5 w6"), (4, None)], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, item), (2, "one two three four five six")], "item_id bigint, text string")
     got = queries.QUERIES["op7_decontaminate"](spark, stored(spark, tmp_path, documents=docs, benchmark=items)).collect()
-    assert [tuple(r) for r in got] == [(1, 1, 1.0, 1, None)]
+    assert [tuple(r) for r in got] == [(1, 1, 1.0, 1, 0)]
     assert {r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == {2, 3, 4}
 
 
-@pytest.mark.parametrize("longest", [0, 30])
-def test_exact_windows_equal_brute_force(spark, monkeypatch, longest):
-    monkeypatch.setattr(decontaminate, "LONGEST_ITEM", longest)
-    r = random.Random(longest)
+def test_a_long_item_within_a_longer_document(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words[50_000:100_000]))], "item_id bigint, text string")
+    got = decontaminate.leaks(docs, items).drop("text_hash").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1.0, 50_000, 0)]
+
+
+def test_texts_of_one_item_id_give_one_row(spark):
+    docs = spark.createDataFrame([(1, "a b c x1 x2 x3 x4 x5 x6 x7")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "x1 x2 x3 x4 x5 x6 x7 x8"), (None, "a b c")], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs, items).drop("text_hash").collect()] == [(1, None, 1.0, 0, 0)]
+
+
+@pytest.mark.parametrize("seed", [0, 30])
+def test_windows_equal_brute_force(spark, seed):
+    r = random.Random(seed)
     words = [f"w{k}" for k in range(40)]
     items = [(k, " ".join(r.choice(words) for _ in range(n))) for k, n in enumerate([12, 40, 25, 70, 31])] + [(90, None), (92, "x y " * 12), (93, "x y z " * 15)]
     docs = []
