@@ -1,16 +1,17 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, however long the text. So sketches of parts
-merge to the sketch of the whole (`merged`), and the share of a small document found in a very large one
+A sketch keeps every shingle hash below a fixed fraction of the hash range, however long the text; where none is, the least hash, so
+that only texts without words have an empty sketch. So sketches of parts merge to the sketch of the whole (`merged`), and the share of a small document found in a very large one
 (`containment`) is as well estimated as between equals. All of it is column expressions.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.columns import fresh, require, shuffle_partitions, words_of
+from stratalog.llm.columns import fresh, let, require, shuffle_partitions, words_of
 from stratalog.llm.ranges import cut_points, range_number
 
 #: Words in a shingle; a text of fewer words is one shingle.
@@ -21,22 +22,30 @@ FRACTION = 1 / 4
 BITS = 48
 
 
+def below(hashes: Column, fraction: float) -> Column:
+    """The hashes below ``fraction`` of 2**48; where none is, the least of them."""
+    limit = int(fraction * 2**BITS)
+    least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
+    return let(F.filter(hashes, lambda h: h < limit), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(least))
+
+
 def sketch(words: Column, fraction: float = FRACTION, shingle: int = SHINGLE) -> Column:
-    """Ascending distinct shingle hashes below ``fraction`` of 2**48, from an array of words. No words: empty.
+    """Ascending distinct shingle hashes that `below` keeps, from an array of words. No words: empty.
 
     ``words`` must be a plain column, or its expression is evaluated anew for each shingle.
     """
-    limit = int(fraction * 2**BITS)
-    short = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    long = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]))
-    hashes = F.when(F.size(words) < shingle, short).otherwise(long)
-    kept = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - BITS) < limit)
-    return F.sort_array(F.array_distinct(F.transform(kept, lambda h: F.shiftrightunsigned(h, 64 - BITS))))
+    def cut(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 64 - BITS)
+
+    short = F.when(F.size(words) > 0, F.array(cut(F.xxhash64(words)))).otherwise(F.array().cast("array<bigint>"))
+    long = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda i: cut(F.xxhash64(*[F.get(words, i + k) for k in range(shingle)])))
+    kept = let(F.when(F.size(words) < shingle, short).otherwise(long), lambda hashes: below(hashes, fraction))
+    return F.sort_array(F.array_distinct(kept))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    return F.sort_array(F.array_union(a, b))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of two texts' shingles together, from their sketches of the same ``fraction``."""
+    return F.sort_array(let(F.array_union(a, b), lambda both: below(both, fraction)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -72,7 +81,7 @@ def with_next(df: DataFrame, order: str, columns: list[str], prefix: str = "next
     part, guest, visit = fresh(df, "range"), fresh(df, "guest"), fresh(df, "visit")
     # Range i ends with cut i, which occurs: descending, it comes first there, and last in range i + 1 as a guest.
     own = range_number(F.col(order), cuts)
-    is_cut = F.coalesce(F.array_contains(F.lit(cuts), F.col(order)), F.lit(False)) if cuts else F.lit(False)
+    is_cut = F.coalesce(F.get(F.lit(np.array(cuts, np.int64)), own) == F.col(order), F.lit(False)) if cuts else F.lit(False)
     is_top = F.col(order).eqNullSafe(F.lit(top))
 
     def seat(at: Column, as_guest: int) -> Column:
@@ -97,8 +106,8 @@ def fingerprint_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Fingerprints of every text, of its edited form (`edited`, with the next document's text), and their likeness.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the containments
-    contained_edited, contained_next. Null text counts as empty; the fingerprint of an empty text, or of one none of
-    whose hashes falls below the fraction, is the empty string and like nothing. Null doc_id comes last; a repeated doc_id
+    contained_edited, contained_next. Null text counts as empty; the fingerprint of a text without words is the empty string and
+    like nothing; any other is like itself in full. Null doc_id comes last; a repeated doc_id
     is ordered by text. A single document is its own next one. Other columns are not read. An empty table gives no rows.
     """
     require(df, doc_id, text)
