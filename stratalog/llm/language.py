@@ -122,29 +122,45 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
 
 
 def sample(df: DataFrame, label: str, key: str, per_label: int = ROWS_PER_LANGUAGE, in_all: int = ROWS) -> DataFrame:
-    """At most ``per_label`` rows of each label, and ``in_all`` together, chosen by a hash of ``key``: the same in every run.
+    """At most ``per_label`` distinct keys of each label, and ``in_all`` together, chosen by a hash of ``key``: the same in every run.
 
-    Only keys and labels are ranked; the ranking keeps the first rows of each partition before it shuffles.
+    Returns label, key. Keys of many rows count once; null keys and labels are not chosen. How many keys a label has (estimated) gives the share of the
+    hash range in which its sample lies with near certainty, so only some three times the sample is made distinct and ranked, however large the table.
     """
-    known = df.where(F.col(label).isNotNull())
-    labels = known.select(label).distinct().count()
-    most = max(1, min(per_label, in_all // max(1, labels)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(42), F.col(key)), F.col(key)))
-    return known.select(key, label).withColumn("rank", rank).where(F.col("rank") <= most).limit(in_all)
+    known = df.select(F.col(label).alias("label"), F.col(key).alias("key")).where(F.col("label").isNotNull() & F.col("key").isNotNull())
+    sizes = known.groupBy("label").agg(F.approx_count_distinct("key", 0.05).alias("keys"))
+    most = max(1, min(per_label, in_all // max(1, sizes.count())))
+    hashed = known.withColumn("hash", F.xxhash64(F.lit(42), F.col("key")))
+    # A row's place in the hash range, 0 to 1, against twice the wanted share and some more for small samples and the estimate's error.
+    place = F.col("hash") / F.lit(2.0**64) + 0.5
+    passed = hashed.join(sizes, "label").where(place * F.col("keys") <= 2 * most + 50).select("label", "key", "hash").distinct()
+    order = ["hash", "key"]
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    return passed.withColumn("rank", rank).where(F.col("rank") <= most).orderBy(*order, "label").limit(in_all).select("label", "key")
 
 
 def fit(df: DataFrame, text: str, label: str, key: str) -> Model:
-    """Learn from a bounded sample (`sample`) of rows with a label. The driver gets one feature vector for each."""
-    chosen = [r[0] for r in sample(df, label, key).select(key).distinct().collect()]
-    rows = df.where(F.col(label).isNotNull() & F.col(key).isin(chosen)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    """Learn from a bounded sample (`sample`) of rows with a label. The driver gets one feature vector for each key and label chosen.
+
+    Rows that repeat a key and label count once, by their least vector; texts without a letter teach nothing.
+    """
+    rows = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.col(key).alias("key"))
+    chosen = {(r["label"], r["key"]) for r in sample(rows, "label", "key").collect()}
+    near = rows.where(F.col("label").isNotNull() & F.col("key").isin(sorted({k for _, k in chosen})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, kind = {}, None
         for batch in batches:
-            found = [(features(t), l) for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            found = [(x, l) for x, l in found if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float16).tobytes() for x, _ in found], pa.binary()), pa.array([l for _, l in found], pa.string())], ["x", "label"])
-
-    got = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(run, "x binary, label string").limit(2 * ROWS).collect())
+            kind = batch.schema.field("key").type
+            for t, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                x = features(t) if tuple(at) in chosen else None
+                if x is not None:
+                    least[tuple(at)] = min(least.get(tuple(at), b"\xff"), x.astype(np.float16).tobytes())
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in least], pa.string()), pa.array([k for _, k in least], kind), pa.array(list(least.values()), pa.binary())], ["label", "key", "x"])
+
+    found = near.mapInArrow(run, f"label string, key {near.schema['key'].dataType.simpleString()}, x binary")
+    got = sorted((r["label"], bytes(r["x"])) for r in found.groupBy("label", "key").agg(F.min("x").alias("x")).collect())
     languages = sorted({l for l, _ in got})
     x = np.array([np.frombuffer(v, np.float16) for _, v in got], np.float32).reshape(len(got), FEATURES)
     return train(x, np.array([languages.index(l) for l, _ in got], int), languages)

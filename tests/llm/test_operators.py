@@ -168,6 +168,23 @@ def test_sketches_merge_and_keep_the_fraction(spark):
     assert 850 < row[0] < 1150 and row[1] > 0.99 and abs(row[2] - row[0]) <= 12
 
 
+def test_short_texts_are_like_themselves(spark):
+    docs = [(i, " ".join(f"s{i // 2}_{k}" for k in range(i // 2 % 7))) for i in range(80)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(table(spark, docs)).collect()}
+    for i, text in docs:
+        assert (got[i]["fingerprint"] == "") == (text == "")
+        if i % 2:
+            assert got[i]["near_next"] == got[i]["contained_next"] == (1 if text else 0) and got[i]["fingerprint"] == got[i - 1]["fingerprint"]
+    # The least hash of one part goes where the other has hashes below the fraction.
+    parts = spark.createDataFrame([(f"p{k} a b c d", f"q{k} a b c d") for k in range(40)], "a string, b string")
+    for c in ("a", "b"):
+        parts = fingerprints.with_sketch(parts, c, f"{c}_s")
+    limit = int(fingerprints.FRACTION * 2**fingerprints.BITS)
+    for a, b, both in parts.select("a_s", "b_s", fingerprints.merged(F.col("a_s"), F.col("b_s"))).collect():
+        union = sorted({*a, *b})
+        assert len(a) == len(b) == 1 and both == ([h for h in union if h < limit] or union[:1])
+
+
 def test_permutation_is_a_bijection_and_its_column_agrees(spark):
     for n in (1, 2, 3, 5, 64, 97, 1000):
         p = sharding.Permutation(n, seed=n)
@@ -285,6 +302,26 @@ def test_language_identification(spark):
     assert {(r["lang_pred"], r["score"]) for r in language.predict(df.where("lang = 'en'").limit(3), one).collect()} == {("en", 1.0)}
 
 
+def test_language_sample_is_the_least_hashes_of_each_label(spark):
+    rows = [(k, f"l{k % 3}" if k % 3 else "rare" if k % 90 == 0 else None) for k in range(6000)] + [(1, "l1")] * 3000 + [(None, "l1")] * 50
+    df = spark.createDataFrame(rows, "key bigint, label string").repartition(5)
+    hashed = df.distinct().where("key is not null and label is not null").withColumn("hash", F.xxhash64(F.lit(42), "key")).collect()
+    order = sorted((r["hash"], r["key"], r["label"]) for r in hashed)
+    got = {(r["label"], r["key"]) for r in language.sample(df, "label", "key", per_label=40).collect()}
+    assert got == {(l, k) for name in ("l1", "l2", "rare") for _, k, l in [x for x in order if x[2] == name][:40]}
+    few = {(r["label"], r["key"]) for r in language.sample(df, "label", "key", in_all=2).collect()}
+    firsts = sorted(next(x for x in order if x[2] == name) for name in ("l1", "l2", "rare"))
+    assert few == {(l, k) for _, k, l in firsts[:2]}
+
+
+def test_repeated_rows_teach_once(spark):
+    docs = [(k, ("the and of this " if k % 2 else "der und von das ") + f"w{k}", "en" if k % 2 else "de") for k in range(40)]
+    once = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    often = spark.createDataFrame(docs + docs[:1] * 500, once.schema).repartition(4)
+    a, b = (language.fit(df, "text", "lang", "doc_id") for df in (once, often))
+    assert a.languages == b.languages == ["de", "en"] and (a.weights == b.weights).all()
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 5, 9, 40):
         code = language.codewords(n)
