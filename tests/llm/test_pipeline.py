@@ -47,6 +47,22 @@ def test_pipeline_equals_the_plain_versions_in_turn(spark, tmp_path):
     assert {r["doc_id"]: r["token_ids"] for r in table.collect()} == want
 
 
+def test_stages_take_clashing_names(spark, tmp_path):
+    docs = [(k, f"the and of this that w{k} x{k}", "en", k, "a", True, 1, [1], "d", 2.5) for k in range(12)] + [(12, None, None, None, None, None, None, None, None, None)]
+    names = "doc_id bigint, text string, lang string, lang_pred int, `a b` string, lang_ambiguous boolean, lines_removed int, token_ids array<int>, decoded string, `o d` double"
+    first = spark.createDataFrame(docs, names)
+    spark.createDataFrame([(1, "the and of this that w3 x3")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table = first
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, table, str(tmp_path))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == first.columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        table = spark.read.parquet(str(tmp_path / f"stage{k}"))
+    got = table.collect()
+    assert {r["doc_id"] for r in got} == set(range(12)) - {3} and all(r["round_trip"] and r["lang"] == "en" for r in got) and "source" not in table.columns
+
+
 def test_stages_take_empty_tables(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
