@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.columns import require
+from stratalog.session import durable
 
 #: n-grams of 1 to 3 letters are hashed to this many features.
 FEATURES = 4096
 #: Bound of the training sample: labelled rows per language, and of all languages together.
 ROWS_PER_LANGUAGE, ROWS = 500, 4000
+#: Counts of up to so many labels are sent to all tasks (a few megabytes); of more, they are joined as Spark sees fit.
+SENT_LABELS = 50_000
 #: Up to so many languages all two-way splits are bits, above so many random ones.
 EXHAUSTIVE, RANDOM_BITS = 5, 24
 #: A text is ambiguous if its second codeword's loss exceeds the first one's by less than this share of all bits' weight.
@@ -128,8 +131,11 @@ def sample(df: DataFrame, label: str, key: str, per_label: int = ROWS_PER_LANGUA
     hash range in which its sample lies with near certainty, so only some three times the sample is made distinct and ranked, however large the table.
     """
     known = df.select(F.col(label).alias("label"), F.col(key).alias("key")).where(F.col("label").isNotNull() & F.col("key").isNotNull())
-    sizes = known.groupBy("label").agg(F.approx_count_distinct("key", 0.05).alias("keys"))
-    most = max(1, min(per_label, in_all // max(1, sizes.count())))
+    sizes = durable(known.groupBy("label").agg(F.approx_count_distinct("key", 0.05).alias("keys")))
+    labels = sizes.count()
+    most = max(1, min(per_label, in_all // max(1, labels)))
+    # Sent to the rows, or all rows of a label would meet in one task.
+    sizes = F.broadcast(sizes) if labels <= SENT_LABELS else sizes
     hashed = known.withColumn("hash", F.xxhash64(F.lit(42), F.col("key")))
     # A row's place in the hash range, 0 to 1, against twice the wanted share and some more for small samples and the estimate's error.
     place = F.col("hash") / F.lit(2.0**64) + 0.5
