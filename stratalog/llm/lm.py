@@ -15,13 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.columns import require
-from stratalog.llm.exchange import answer, ask, bucket_count, distinct, mix, numbers, pack, use
+from stratalog.llm.exchange import TALLY, answer, ask, bucket_count, mix, numbers, pack, unsqueeze, use
 from stratalog.session import durable
 
 #: Folds by crc32 of the doc_id as text: fold 0 is held out of training, fold 1 also serves to learn the weights.
@@ -35,54 +36,55 @@ ROUNDS, TOLERANCE = 100, 1e-7
 END, START = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557
 
 
+#: Stands for the end among the words of a pack; no word holds a space.
+_END = b" "
+
+
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = self[word] = len(self)
         return code
 
 
 @dataclass
 class Tokens:
-    """A pack's tokens, document after document: every word, then one end."""
+    """A pack's tokens, document after document: every word, then one end. ``code`` numbers the distinct ones, ``hashes`` are theirs."""
 
     sizes: np.ndarray
     fold: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
+    code: np.ndarray
+    hashes: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Tokens:
-        known, sizes, parts = _Codes(), [], []
+        known, sizes, words = _Codes({_END: 0}), [], []
         for text in rows.column("text"):
             own = (text.as_py() or "").encode().lower().split()
-            parts.append(np.fromiter(map(known.__getitem__, own), np.uint64, len(own)))
-            parts.append(np.array([END], np.uint64))
-            sizes.append(len(own) + 1)
-        sizes = np.array(sizes, np.int64)
-        word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[np.cumsum(sizes) - sizes] = START
+            own.append(_END)
+            words += own
+            sizes.append(len(own))
+        code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        hashes = np.array([END, *map(xxhash.xxh3_64_intdigest, list(known)[1:])], np.uint64)
         fold = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS for i in rows.column("doc_id").to_pylist()], np.int64)
-        return Tokens(sizes, fold, word, context)
+        return Tokens(np.array(sizes, np.int64), fold, code, hashes)
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams asked for, and for each token the numbers of its pair, its word and its context among them.
+        """Distinct n-grams asked for, words first, and for each token the numbers of its pair, its word and its context among them.
 
         Every word is followed by another or the end, so a context occurs as often as its word, and the start as often as the end."""
-        pair = mix(mix(self.context, 3) * np.uint64(0x9E3779B97F4A7C15) + self.word, 4)
-        everything = np.concatenate([pair, mix(self.word, 1)])
-        first, number = distinct(everything)
-        word = number[len(pair) :]
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        ends = np.cumsum(self.sizes)
-        context[ends - self.sizes] = word[ends - 1]
-        return everything[first], number[: len(pair)], word, context
+        words, ends = len(self.hashes), np.cumsum(self.sizes)
+        context = np.empty_like(self.code)
+        context[1:] = self.code[:-1]
+        context[ends - self.sizes] = words
+        pair, distinct = pd.factorize(context * (words + 1) + self.code)
+        before, after = np.append(self.hashes, np.uint64(START))[distinct // (words + 1)], self.hashes[distinct % (words + 1)]
+        keys = np.concatenate([mix(self.hashes, 1), mix(mix(before, 3) * np.uint64(0x9E3779B97F4A7C15) + after, 4)])
+        context[ends - self.sizes] = self.code[ends - 1]
+        return keys, pair + words, self.code, context
 
 
 def context_bucket(seen: np.ndarray) -> np.ndarray:
@@ -152,7 +154,8 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         counts = sum(np.bincount(x[train], minlength=len(keys)) for x in (pair, word))
         # A bucket tells its keys apart by 48 bits; the upper ones have dealt them already.
         rest = keys & np.uint64(0xFFFFFFFFFFFF)
-        return keys, ((rest >> np.uint64(16)).astype(np.uint32), (rest & np.uint64(0xFFFF)).astype(np.uint16), counts.astype(np.uint32))
+        is_word = np.arange(len(keys)) < len(t.hashes)
+        return keys, ((rest >> np.uint64(16)).astype(np.uint32), (rest & np.uint64(0xFFFF)).astype(np.uint16), counts.astype(np.uint32), is_word)
 
     def add(asked, _packs):
         sizes = [len(a[0]) for a in asked]
@@ -161,11 +164,16 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         total = np.bincount(number, np.concatenate([a[2] for a in asked]), len(found)).astype(np.int64)[number]
         return [(x if x.max(initial=0) >= 2**32 else x.astype(np.uint32),) for x in np.split(total, np.cumsum(sizes)[:-1])]
 
-    totals = durable(answer(ask(packs, ask_counts, buckets), add))
+    def tally(asked):
+        """Distinct training words of a bucket, and their tokens."""
+        keys = np.concatenate([(a[0].astype(np.uint64) << np.uint64(16) | a[1].astype(np.uint64))[a[3] & (a[2] > 0)] for a in asked])
+        return np.array([len(np.unique(keys)), sum(int(a[2][a[3]].sum(dtype=np.int64)) for a in asked)], np.int64)
 
-    # N: training tokens; V: distinct ones. Both are sums over the words alone, so they take a small question of their own.
-    words = vocabulary(packs, buckets)
-    stats = words.first()
+    answers = durable(answer(ask(packs, ask_counts, buckets), add, tally))
+    totals = answers.where(F.col("pack") != TALLY)
+
+    # N: training tokens; V: distinct ones.
+    stats = vocabulary(answers).first()
     n, v = int(stats["tokens"] or 0), int(stats["words"] or 0)
     floor = 1 / (v + 1)
 
@@ -213,26 +221,13 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return use(packs, totals, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def vocabulary(packs: DataFrame, buckets: int) -> DataFrame:
-    """One row: training tokens, and how many distinct ones."""
-
-    def ask_words(rows: pa.Table):
-        t = Tokens.of(rows)
-        train = t.word[(t.fold != HELD_OUT)[t.doc]]
-        keys, counts = np.unique(mix(train, 1), return_counts=True)
-        return keys, (keys, counts)
-
-    def tally(asked, _packs) -> list:
-        keys = np.unique(np.concatenate([a[0] for a in asked]))
-        first = (np.array([len(keys), sum(int(a[1].sum()) for a in asked)], np.int64),)
-        return [first, *[(np.zeros(2, np.int64),)] * (len(asked) - 1)]
+def vocabulary(answers: DataFrame) -> DataFrame:
+    """One row: training tokens, and how many distinct ones, from the tallies of the buckets."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from stratalog.llm.exchange import unsqueeze
-
         for batch in batches:
-            found = np.array([unsqueeze(x.as_py())[0] for x in batch.column("payload")], np.int64).reshape(-1, 2)
+            found = np.array([unsqueeze(x.as_py()) for x in batch.column("payload")], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["words", "tokens"])
 
-    parts = answer(ask(packs, ask_words, buckets), tally).mapInArrow(unpack, "words bigint, tokens bigint")
+    parts = answers.where(F.col("pack") == TALLY).select("payload").mapInArrow(unpack, "words bigint, tokens bigint")
     return parts.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
