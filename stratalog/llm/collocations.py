@@ -9,16 +9,19 @@ What is active follows from two filters alone: the subphrases frequent before th
 whose subphrases both pass the first filter, but not both the second, is counted. The filter is a bitmap of hashes of one fixed size (`filter_bits`, at
 most FILTER_BITS) and only gains bits, so a chance hit activates a phrase early, for a full cycle as well: it costs time and changes no count.
 
-Texts are cut into words once; steps work on arrays of word numbers in packs (rows of some megabytes of one language), and Spark adds up
-what the packs of a step count. A phrase that ends its cycle below the threshold leaves the table.
+Texts are cut into words once; steps work on arrays of word numbers in packs (rows of some megabytes of one language). A pack sends what it counts
+in a step to buckets of key values, as in `exchange`: per phrase the 64-bit hash, 16 bits of a second one and the count, not the words. Two
+phrases are taken for one only if all 80 bits are equal. A bucket adds the counts to those of the steps before. A phrase that ends its cycle below
+the threshold leaves the table. The words of the frequent ones are asked once, at the end, of the first pack that counted them.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalog.llm.columns import require
-from stratalog.llm.exchange import mix, rows_in, squeeze, to_bytes, unsqueeze
+from stratalog.llm.exchange import ROWS, bucket_count, deal, mix, rows_in, squeeze, to_bytes, unsqueeze
 from stratalog.session import durable
 
 LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
@@ -41,6 +44,8 @@ PACK_BYTES = 8 << 20
 BITS_PER_PHRASE, FEWEST_BITS, FILTER_BITS = 16, 1 << 16, 1 << 26
 #: Bits in a piece of the filter as it is built.
 CHUNK = 1 << 18
+#: The pack of rows that hold a bucket's counts so far.
+KEPT = -1
 
 # A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -48,10 +53,10 @@ _BREAK = b"\n"
 
 
 class Pack:
-    """Words of texts of one language: distinct words with a 64-bit hash of each and the language, and their numbers in order; -1 ends a piece."""
+    """Words of texts of one language: distinct words with two 64-bit hashes of each and the language, and their numbers in order; -1 ends a piece."""
 
-    def __init__(self, words: pa.Array, codes: np.ndarray, keys: np.ndarray):
-        self.words, self.codes, self.keys = words, codes, keys
+    def __init__(self, words: pa.Array, codes: np.ndarray, keys: np.ndarray, checks: np.ndarray):
+        self.words, self.codes, self.keys, self.checks = words, codes, keys, checks
 
     @staticmethod
     def of_texts(texts: list[bytes], lang: str) -> Pack:
@@ -64,22 +69,29 @@ class Pack:
         number[~real] = [-1 if w == _BREAK else -2 for w in words.filter(pa.array(~real)).to_pylist()]
         codes = number[codes]
         words, seed = words.filter(pa.array(real)), xxhash.xxh64_intdigest(lang.encode())
-        keys = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
-        return Pack(words, codes[codes != -2].astype(np.int32), keys)
+        keys, checks = (np.array([h(w, seed) for w in words.to_pylist()], np.uint64) for h in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
+        return Pack(words, codes[codes != -2].astype(np.int32), keys, checks)
 
     def to_bytes(self) -> bytes:
-        return squeeze((to_bytes(pa.table([self.words], ["w"])), self.codes, self.keys))
+        return squeeze((to_bytes(pa.table([self.words], ["w"])), self.codes, self.keys, self.checks))
 
     @staticmethod
     def of_bytes(raw: bytes) -> Pack:
-        words, codes, keys = unsqueeze(raw)
-        return Pack(rows_in(words).column("w").combine_chunks(), codes, keys)
+        words, codes, keys, checks = unsqueeze(raw)
+        return Pack(rows_in(words).column("w").combine_chunks(), codes, keys, checks)
 
     def phrases(self, starts: np.ndarray, size: int) -> pa.Array:
         """The words of phrases, joined by spaces."""
         parts = [self.words.take(pa.array(self.codes[starts + k])) for k in range(size)]
         return pc.binary_join_element_wise(*parts, b" ").cast(pa.string()) if size > 1 else parts[0].cast(pa.string())
 
+    def second(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """16 bits of the second hash of phrases."""
+        check = self.checks[self.codes[starts]]
+        for k in range(1, size):
+            check = longer_key(check, self.checks[self.codes[starts + k]])
+        return (check >> np.uint64(48)).astype(np.uint16)
+
 
 def longer_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase and one more word."""
@@ -116,19 +128,20 @@ def filter_bits(words: int, least: int) -> int:
 
 
 def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int) -> DataFrame:
-    """Packs as a written table: shard, lang, n (words), payload. Nothing is shuffled."""
+    """Packs as a written table: pack (its number), shard, lang, n (words), payload. Nothing is shuffled."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        held, size = defaultdict(list), 0
+        task = TaskContext.get().partitionId()
+        number, held, size = task, defaultdict(list), 0
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number
             for name, texts in held.items():
                 made = Pack.of_texts(texts, name)
-                yield pa.RecordBatch.from_arrays([pa.array([number % shards], pa.int32()), pa.array([name]), pa.array([int((made.codes >= 0).sum())], pa.int64()),
-                                                  pa.array([made.to_bytes()], pa.binary())], ["shard", "lang", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + number - task], pa.int64()), pa.array([number % shards], pa.int32()), pa.array([name]),
+                                                  pa.array([int((made.codes >= 0).sum())], pa.int64()), pa.array([made.to_bytes()], pa.binary())],
+                                                 ["pack", "shard", "lang", "n", "payload"])
                 number += 1
             held.clear()
 
@@ -142,16 +155,18 @@ def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int)
                     size = 0
         yield from out()
 
-    return durable(rows.mapInArrow(run, "shard int, lang string, n bigint, payload binary"))
+    return durable(rows.mapInArrow(run, "pack bigint, shard int, lang string, n bigint, payload binary"))
 
 
-def counted(pack: Pack, now: Filter, before: Filter | None, words: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """What a pack counts in a step: (size, distinct phrases, counts). ``before``: the filter of one cycle ago; ``words``: single words too."""
+def counted(pack: Pack, now: Filter, before: Filter | None, words: bool, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What a pack counts in a step: (size, a start, hash and count of each distinct phrase). ``before``: the filter of one cycle ago; ``words``: single words too."""
     codes = pack.codes
-    if words and len(pack.words):
-        yield 1, pack.words.cast(pa.string()), np.bincount(codes[codes >= 0], minlength=len(pack.words))
     of_word = pack.keys
     at = np.flatnonzero(codes >= 0)
+    if words and len(at):
+        start = np.empty(len(of_word), np.int64)
+        start[codes[at[::-1]]] = at[::-1]
+        yield 1, start, of_word, np.bincount(codes[at], minlength=len(of_word))
     key, name = of_word[codes[at]], codes[at].astype(np.int64)
     # Per place that still counts: the phrase' start, hash and number, whether it is frequent now, whether it was one cycle ago.
     is_now = now.has(of_word)[codes[at]]
@@ -164,31 +179,83 @@ def counted(pack: Pack, now: Filter, before: Filter | None, words: bool, longest
             return
         active_before = was[both] & was[both + 1]
         last = codes[at[both] + size - 1]
-        _, first, name, count = np.unique(name[both] * (len(pack.words) + 1) + last, return_index=True, return_inverse=True, return_counts=True)
+        name, distinct = pd.factorize(name[both] * (len(pack.words) + 1) + last)
+        first, count = np.empty(len(distinct), np.int64), np.bincount(name)
+        first[name[::-1]] = np.arange(len(name))[::-1]
         at, key = at[both], longer_key(key[both], of_word[last])
         # Whether a phrase is active follows from its words, so it is the same at all its places.
         new = np.flatnonzero(~active_before[first])
         if len(new):
-            yield size, pack.phrases(at[first[new]], size), count[new]
-        name = name.astype(np.int64)
+            yield size, at[first[new]], key[first[new]], count[new]
         is_now = now.has(key)
         was = active_before & before.has(key) if before is not None else np.zeros(len(at), bool)
 
 
-def chunks_of(frequent: DataFrame, bits: int) -> DataFrame:
-    """Pieces of the filter that the given phrases (lang, phrase) set: (chunk, compressed bits), at most bits / CHUNK rows."""
+def _lean(numbers: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def _planes(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as bytes of their steps, so that those that are mostly zero lie together."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def _keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def sent(number: int, pack: Pack, now: Filter, before: Filter | None, words: bool, longest: int, buckets: int) -> pa.Table:
+    """What a pack counts in a step, for each bucket that gets any: ROWS with keys, second hashes, sizes and counts."""
+    found = [(key, pack.second(start, size), np.full(len(key), size, np.uint8), count) for size, start, key, count in counted(pack, now, before, words, longest)]
+    if not found:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary())], ["bucket", "pack", "payload"])
+    arrays = [np.concatenate(x) for x in zip(*found)]
+    order = np.argsort(arrays[0])
+    keys, check, size, count = (x[order] for x in arrays)
+    _, ends = deal(keys, buckets)
+    full = np.flatnonzero(np.diff(ends))
+    payload = [squeeze((_planes(keys[a:b]), check[a:b], size[a:b], _lean(count[a:b]))) for a, b in zip(ends[full], ends[full + 1])]
+    return pa.table([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "pack", "payload"])
+
+
+def adder(step: int, least: int, longest: int, shards: int) -> Callable[[pa.Table], pa.Table]:
+    """Makes a bucket's counts after a step: one row of the pack KEPT; ``frequent`` holds the keys of frequent phrases that a longer one may have."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pack")  # what was kept comes first
+        parts = []
+        for number, raw in zip(rows.column("pack").to_pylist(), rows.column("payload")):
+            planes, check, size, c, *more = unsqueeze(raw.as_py())
+            since, pack = more or (np.full(len(check), step, np.int32), np.full(len(check), number, np.int64))
+            parts.append((_keys(planes), check, size, c.astype(np.int64), since, pack))
+        key, check, size, c, since, pack = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((check, key))  # stable: equal ones stay by pack
+        key, check = key[order], check[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+        at = np.flatnonzero(new)
+        c, since = np.add.reduceat(c[order], at), since[order[at]]
+        # Counted since its first shard at the latest; a rare one that has been round is out.
+        keep = (c >= least) | (since + shards - 1 > step)
+        key, check, size, c, since, pack = key[at][keep], check[at][keep], size[order[at]][keep], c[keep], since[keep], pack[order[at]][keep]
+        state = squeeze((_planes(key), check, size, _lean(c), since, pack))
+        frequent = squeeze((key[(c >= least) & (size < longest)],))
+        return pa.table([rows.column("bucket")[:1], pa.array([KEPT], pa.int64()), pa.array([state], pa.binary()), pa.array([frequent], pa.binary())],
+                        ["bucket", "pack", "payload", "frequent"])
+
+    return add
+
+
+def chunks_of(table: DataFrame, bits: int) -> DataFrame:
+    """Pieces of the filter that the frequent phrases of a table set: (chunk, compressed bits), at most bits / CHUNK rows."""
     size = min(CHUNK, bits)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seed = xxhash.xxh64_intdigest(lang.encode())
-                first, *rest = [np.array([xxhash.xxh64_intdigest(w.encode(), seed)], np.uint64) for w in phrase.split(" ")]
-                for w in rest:
-                    first = longer_key(first, w)
-                out.append(int(first[0]) & bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([p // size for p in out], pa.int32()), pa.array([p % size for p in out], pa.int32())], ["chunk", "place"])
+            for raw in batch.column(0):
+                place = np.unique(unsqueeze(raw.as_py())[0] & np.uint64(bits - 1)).astype(np.int64)
+                yield from pa.table([pa.array((place // size).astype(np.int32)), pa.array((place % size).astype(np.int32))], ["chunk", "place"]).to_batches(20_000)
 
     def pack_bits(rows: pa.Table) -> pa.Table:
         mask = np.zeros(size, np.uint8)
@@ -196,13 +263,13 @@ def chunks_of(frequent: DataFrame, bits: int) -> DataFrame:
         raw = zstandard.ZstdCompressor(level=1).compress(np.packbits(mask, bitorder="little").tobytes())
         return pa.table([rows.column("chunk")[:1], pa.array([raw], pa.binary())], ["chunk", "bits"])
 
-    some = frequent.select("lang", "phrase").mapInArrow(places, "chunk int, place int").distinct()
+    some = table.select("frequent").mapInArrow(places, "chunk int, place int").distinct()
     return some.groupBy("chunk").applyInArrow(pack_bits, "chunk int, bits binary")
 
 
 def phrase_counts(packs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """(lang, phrase, size, c) of all phrases of up to ``longest`` words that occur ``least`` times or more, counted exactly."""
-    spark = packs.sparkSession
+    spark, buckets = packs.sparkSession, bucket_count(packs)
     words = packs.agg(F.sum("n")).first()[0] or 0
     filters = [Filter(filter_bits(words, least))]
     table = None
@@ -213,23 +280,53 @@ def phrase_counts(packs: DataFrame, least: int = LEAST, longest: int = LONGEST,
 
         def run(batches: Iterator[pa.RecordBatch], known=known, counts_words=step < shards) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for size, phrases, count in counted(Pack.of_bytes(raw.as_py()), *known.value, counts_words, longest):
-                        yield from pa.table([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string()), phrases,
-                                             pa.array(np.full(len(phrases), size, np.int32)), pa.array(count.astype(np.int64))],
-                                            ["lang", "phrase", "size", "c"]).to_batches(max_chunksize=20_000)
-
-        shard = packs.where(F.col("shard") == step % shards).select("lang", "payload")
-        found = shard.mapInArrow(run, "lang string, phrase string, size int, c bigint").withColumn("since", F.lit(step))
-        both = found if table is None else table.unionByName(found)
-        added = both.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("c"), F.min("since").alias("since"))
-        # Counted since its first shard at the latest; a rare one that has been round is out.
-        table = durable(added.where((F.col("c") >= least) | (F.col("since") + shards - 1 > step)))
-        frequent = table.where((F.col("c") >= least) & (F.col("size") < longest))
-        filters.append(now.joined([(r["chunk"], bytes(r["bits"])) for r in chunks_of(frequent, now.bits).collect()]))
+                for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield from sent(number, Pack.of_bytes(raw.as_py()), *known.value, counts_words, longest, buckets).to_batches()
+
+        found = packs.where(F.col("shard") == step % shards).select("pack", "payload").mapInArrow(run, ROWS)
+        both = found if table is None else table.select("bucket", "pack", "payload").unionByName(found)
+        table = durable(both.groupBy("bucket").applyInArrow(adder(step, least, longest, shards), f"{ROWS}, frequent binary"))
+        filters.append(now.joined([(r["chunk"], bytes(r["bits"])) for r in chunks_of(table, now.bits).collect()]))
         known.unpersist()
         step += 1
-    return table.where(F.col("c") >= least).drop("since")
+    return named(packs, table, filters[-1], least, longest)
+
+
+def named(packs: DataFrame, table: DataFrame, known: Filter, least: int, longest: int) -> DataFrame:
+    """The frequent phrases of a table with their words, as a written table: lang, phrase, size, c. The first pack that counted a phrase tells them."""
+    shared = packs.sparkSession.sparkContext.broadcast(known)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                planes, check, size, c, _, pack = unsqueeze(raw.as_py())
+                some = np.flatnonzero(c >= least)
+                some = some[np.argsort(pack[some], kind="stable")]
+                key, check, size, c, pack = (x[some] for x in (_keys(planes), check, size, c, pack))
+                at = np.flatnonzero(np.diff(pack, prepend=np.int64(-1)))
+                payload = [squeeze((key[a:b], check[a:b], size[a:b], c[a:b])) for a, b in zip(at, [*at[1:], len(pack)])]
+                yield from pa.table([pa.array(pack[at], pa.int64()), pa.array(payload, pa.binary())], ["pack", "payload"]).to_batches()
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = [np.concatenate(x) for x in zip(*(unsqueeze(r.as_py()) for r in right.column("payload")))]
+        parts = []
+        if asked:
+            pack = Pack.of_bytes(left.column("payload")[0].as_py())
+            goal = pd.DataFrame(dict(zip(("key", "check", "size", "c"), asked)))
+            for size, start, key, _ in counted(pack, shared.value, None, True, longest):
+                some = np.flatnonzero(np.isin(key, goal["key"]))
+                own = pd.DataFrame({"key": key[some], "check": pack.second(start[some], size), "start": start[some]})
+                hit = own.merge(goal[goal["size"] == size], on=["key", "check"])
+                parts.append((pack.phrases(hit["start"].to_numpy(), size), np.full(len(hit), size, np.int32), hit["c"].to_numpy(np.int64)))
+        phrases = pa.chunked_array([p[0] for p in parts], pa.string())
+        sizes, counts = (np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in ((1, np.int32), (2, np.int64)))
+        return pa.table([pa.repeat(left.column("lang")[0], len(sizes)), phrases, pa.array(sizes), pa.array(counts)], ["lang", "phrase", "size", "c"])
+
+    asks = table.select("payload").mapInArrow(wanted, "pack bigint, payload binary")
+    sides = packs.select("pack", "lang", "payload").groupBy("pack").cogroup(asks.groupBy("pack"))
+    found = durable(sides.applyInArrow(tell, "lang string, phrase string, size int, c bigint"))
+    shared.unpersist()
+    return found
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
