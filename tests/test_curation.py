@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.operators import backfill, cluster, linkage, mentions, merge, ordering
+from stratalog.session import durable
 
 
 @pytest.fixture(params=["true", "false"])
@@ -302,3 +303,18 @@ def test_index_job(spark, table):
         ("R001", "S1", "JSC 1 and JSC-1 in one long line")]
     assert {r["child"]: r["missing"] for r in done.change.collect()} == {"before": 2, "after": 1}
     assert [r["simulant_id"] for r in done.reports["uncovered"].collect()] == ["S2"]
+
+
+def test_no_join_of_names_goes_through_the_driver(spark):
+    """Small files of names make many keys, which Spark's estimate does not see: it broadcast them until the driver's memory ended."""
+    names = durable(spark.createDataFrame([(f"name {k}",) for k in range(30)], "name string"))
+    targets = durable(spark.createDataFrame([(f"S{k}", f"Name-{k}") for k in range(30)], "simulant_id string, name string"))
+    a, b = names.select(F.col("name").alias("a")), targets.select(F.col("name").alias("b"))
+    keyed = [durable(side.withColumn("key", F.xxhash64(F.lit(1)))) for side in (a, b)]
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for df in (linkage._close_pairs(a, b, 2), linkage.link_names(names, targets, durable(targets.select("name", F.col("name").alias("target"))), fuzzy=False)):
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+    assert "SortMergeJoin [key" in plan(linkage._met(*keyed)) and linkage._met(*keyed).count() == 900
