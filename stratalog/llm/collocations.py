@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,12 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.columns import require
-from stratalog.llm.exchange import ROWS, bucket_count, deal, mix, rows_in, squeeze, to_bytes, unsqueeze
+from stratalog.llm.columns import give_back, require
+from stratalog.llm.exchange import ROWS, bucket_count, mix, rows_in, squeeze, to_bytes, unsqueeze
 from stratalog.session import durable
 
 LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
@@ -40,6 +41,8 @@ LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
 SHARDS = 2
 #: Bytes of texts in a pack.
 PACK_BYTES = 8 << 20
+#: Bytes of rows that go to a Python worker at once; a longer row goes by itself.
+BATCH_BYTES = 4 << 20
 #: The filter has so many bits per phrase that can become frequent, between these bounds.
 BITS_PER_PHRASE, FEWEST_BITS, FILTER_BITS = 16, 1 << 16, 1 << 26
 #: Bits in a piece of the filter as it is built.
@@ -60,9 +63,11 @@ class Pack:
 
     @staticmethod
     def of_texts(texts: list[bytes], lang: str) -> Pack:
-        tokens = _BREAK.join(texts).translate(_BYTES).replace(_BREAK, b" \n ").split(b" ")
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy()
+        # Split by Arrow: as Python objects the words of a pack would take ten times its bytes.
+        joined = pa.array([_BREAK.join(texts).translate(_BYTES).replace(_BREAK, b" \n ")], pa.large_binary())
+        coded = pc.split_pattern(joined, " ").values.dictionary_encode()
+        words, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+        del joined, coded
         number = np.empty(len(words), np.int32)
         real = np.array([w not in (b"", _BREAK) for w in words.to_pylist()], bool)
         number[real] = np.arange(real.sum())
@@ -127,6 +132,21 @@ def filter_bits(words: int, least: int) -> int:
     return bits
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lowers the session's Arrow batches, if they are Spark's default, while the packs are worked on. Changes memory only, no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    lowers = held.rstrip("b") == str(64 << 20)
+    if lowers:
+        spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if lowers:
+            spark.conf.set(name, held)
+
+
 def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int) -> DataFrame:
     """Packs as a written table: pack (its number), shard, lang, n (words), payload. Nothing is shuffled."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
@@ -144,6 +164,7 @@ def packed(docs: DataFrame, text: str, lang: str, shards: int, pack_bytes: int)
                                                  ["pack", "shard", "lang", "n", "payload"])
                 number += 1
             held.clear()
+            give_back()
 
         for batch in batches:
             for t, name in zip(batch.column(0), batch.column(1)):
@@ -162,33 +183,46 @@ def counted(pack: Pack, now: Filter, before: Filter | None, words: bool, longest
     """What a pack counts in a step: (size, a start, hash and count of each distinct phrase). ``before``: the filter of one cycle ago; ``words``: single words too."""
     codes = pack.codes
     of_word = pack.keys
-    at = np.flatnonzero(codes >= 0)
+    at = np.flatnonzero(codes >= 0).astype(np.int32)
     if words and len(at):
-        start = np.empty(len(of_word), np.int64)
+        start = np.empty(len(of_word), np.int32)
         start[codes[at[::-1]]] = at[::-1]
         yield 1, start, of_word, np.bincount(codes[at], minlength=len(of_word))
-    key, name = of_word[codes[at]], codes[at].astype(np.int64)
-    # Per place that still counts: the phrase' start, hash and number, whether it is frequent now, whether it was one cycle ago.
-    is_now = now.has(of_word)[codes[at]]
-    was = before.has(of_word)[codes[at]] if before is not None else np.zeros(len(at), bool)
+    # Per place that still counts: where, and the phrase' number. Per distinct phrase: its hash, whether it is frequent now, whether it was one cycle ago.
+    name, key = codes[at], of_word
+    is_now = now.has(key)
+    was = before.has(key) if before is not None else np.zeros(len(key), bool)
     for size in range(2, longest + 1):
-        keep = np.flatnonzero(is_now)
-        at, key, name, was = at[keep], key[keep], name[keep], was[keep]
+        keep = is_now[name]
+        at, name = at[keep], name[keep]
         both = np.flatnonzero(at[1:] == at[:-1] + 1)
         if len(both) == 0:
             return
-        active_before = was[both] & was[both + 1]
-        last = codes[at[both] + size - 1]
-        name, distinct = pd.factorize(name[both] * (len(pack.words) + 1) + last)
-        first, count = np.empty(len(distinct), np.int64), np.bincount(name)
-        first[name[::-1]] = np.arange(len(name))[::-1]
-        at, key = at[both], longer_key(key[both], of_word[last])
+        head, rest, at = name[both], name[both + 1], at[both]
+        del keep, both
+        last = codes[at + (size - 1)]
+        first, name, count = _numbered(head.astype(np.int64) * (len(pack.words) + 1) + last)
         # Whether a phrase is active follows from its words, so it is the same at all its places.
-        new = np.flatnonzero(~active_before[first])
+        active_before = was[head[first]] & was[rest[first]]
+        key = longer_key(key[head[first]], of_word[last[first]])
+        del head, rest, last
+        new = np.flatnonzero(~active_before)
         if len(new):
-            yield size, at[first[new]], key[first[new]], count[new]
+            yield size, at[first[new]], key[new], count[new]
         is_now = now.has(key)
-        was = active_before & before.has(key) if before is not None else np.zeros(len(at), bool)
+        was = active_before & before.has(key) if before is not None else np.zeros(len(key), bool)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct values, ascending: the first place, the number at each place, how often it occurs. Sorted, which takes less memory than hashing."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    del values
+    at, name = np.flatnonzero(new), np.empty(len(order), np.int32)
+    name[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[at], name, np.diff(at, append=len(order))
 
 
 def _lean(numbers: np.ndarray) -> np.ndarray:
@@ -207,18 +241,32 @@ def _keys(planes: np.ndarray) -> np.ndarray:
 
 def sent(number: int, pack: Pack, now: Filter, before: Filter | None, words: bool, longest: int, buckets: int) -> pa.Table:
     """What a pack counts in a step, for each bucket that gets any: ROWS with keys, second hashes, sizes and counts."""
-    found = [(key, pack.second(start, size), np.full(len(key), size, np.uint8), count) for size, start, key, count in counted(pack, now, before, words, longest)]
+    found = [(key, pack.second(start, size), np.full(len(key), size, np.uint8), _lean(count)) for size, start, key, count in counted(pack, now, before, words, longest)]
     if not found:
         return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary())], ["bucket", "pack", "payload"])
-    arrays = [np.concatenate(x) for x in zip(*found)]
-    order = np.argsort(arrays[0])
-    keys, check, size, count = (x[order] for x in arrays)
-    _, ends = deal(keys, buckets)
+    keys, check, size, count = _joined(found)
+    order = np.argsort(keys)
+    keys = keys[order]
+    check, size, count = (x[order] for x in (check, size, count))
+    ends = _ends(keys, buckets)
     full = np.flatnonzero(np.diff(ends))
     payload = [squeeze((_planes(keys[a:b]), check[a:b], size[a:b], _lean(count[a:b]))) for a, b in zip(ends[full], ends[full + 1])]
     return pa.table([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "pack", "payload"])
 
 
+def _joined(parts: list[tuple]) -> list[np.ndarray]:
+    """Each column of ``parts`` as one array; ``parts`` is emptied, so that no column is held twice for long."""
+    columns = [list(x) for x in zip(*parts)]
+    parts.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
+def _ends(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins and ends in ascending keys, as `deal` gives them, without arrays of the length of the keys."""
+    least = [-((-b << 32) // buckets) << 32 for b in range(buckets)]
+    return np.append(np.searchsorted(keys, np.array(least, np.uint64)), len(keys))
+
+
 def adder(step: int, least: int, longest: int, shards: int) -> Callable[[pa.Table], pa.Table]:
     """Makes a bucket's counts after a step: one row of the pack KEPT; ``frequent`` holds the keys of frequent phrases that a longer one may have."""
 
@@ -228,14 +276,14 @@ def adder(step: int, least: int, longest: int, shards: int) -> Callable[[pa.Tabl
         for number, raw in zip(rows.column("pack").to_pylist(), rows.column("payload")):
             planes, check, size, c, *more = unsqueeze(raw.as_py())
             since, pack = more or (np.full(len(check), step, np.int32), np.full(len(check), number, np.int64))
-            parts.append((_keys(planes), check, size, c.astype(np.int64), since, pack))
-        key, check, size, c, since, pack = (np.concatenate(x) for x in zip(*parts))
+            parts.append((_keys(planes), check, size, c, since, pack))
+        key, check, size, c, since, pack = _joined(parts)
         order = np.lexsort((check, key))  # stable: equal ones stay by pack
         key, check = key[order], check[order]
         new = np.ones(len(order), bool)
         new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
         at = np.flatnonzero(new)
-        c, since = np.add.reduceat(c[order], at), since[order[at]]
+        c, since = np.add.reduceat(c[order], at, dtype=np.int64), since[order[at]]
         # Counted since its first shard at the latest; a rare one that has been round is out.
         keep = (c >= least) | (since + shards - 1 > step)
         key, check, size, c, since, pack = key[at][keep], check[at][keep], size[order[at]][keep], c[keep], since[keep], pack[order[at]][keep]
@@ -282,6 +330,7 @@ def phrase_counts(packs: DataFrame, least: int = LEAST, longest: int = LONGEST,
             for batch in batches:
                 for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield from sent(number, Pack.of_bytes(raw.as_py()), *known.value, counts_words, longest, buckets).to_batches()
+                    give_back()
 
         found = packs.where(F.col("shard") == step % shards).select("pack", "payload").mapInArrow(run, ROWS)
         both = found if table is None else table.select("bucket", "pack", "payload").unionByName(found)
@@ -375,9 +424,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     byte order. Other columns are not read; an empty table, or one without frequent phrases, gives no rows.
     """
     require(docs, text, lang)
-    packs = packed(docs, text, lang, shards, PACK_BYTES)
+    with small_batches(docs.sparkSession):
+        packs = packed(docs, text, lang, shards, PACK_BYTES)
+        counts = phrase_counts(packs, least, longest, shards)
     totals = packs.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = phrase_counts(packs, least, longest, shards)
     kept = not_inside_longer(scored(counts, totals), percent)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("bigint"))
